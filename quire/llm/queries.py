@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import sentencepiece_codec, simhash
+from quire.llm import sentencepiece_codec, simhash, substring_dedup
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -32,3 +32,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(documents(spark, sf_dir))
+
+
+@_query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
