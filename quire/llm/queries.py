@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import sentencepiece_codec, simhash, substring_dedup
+from quire.llm import langid, sentencepiece_codec, simhash, substring_dedup
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -38,3 +38,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
