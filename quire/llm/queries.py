@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, sentencepiece_codec, simhash, substring_dedup
+from quire.llm import embedding_dedup, langid, sentencepiece_codec, simhash, substring_dedup
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
