@@ -27,6 +27,8 @@ COSINE = 0.98
 BLOCK = 512
 #: A vector that passes fewer filters is decoded again at the lower threshold.
 FEWEST = 4
+#: Rows of one task's pairs of blocks, about.
+TASK_ROWS = 20_000
 
 
 @dataclass
@@ -147,27 +149,36 @@ def near_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = placed.select(*key, "vec_id", "raw", "filters", "own", F.explode(pairs).alias("p")).select(*key, "p.i", "p.j", "own", "vec_id", "raw", "filters")
 
+    total = sizes.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    tasks = F.pmod(F.xxhash64(*key, "i", "j"), F.lit(total // TASK_ROWS + 1))
+
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, filt = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["filter"].iloc[0])
-        ids, own = group["vec_id"].to_numpy(), group["own"].to_numpy()
-        unit = _unit(np.stack([np.frombuffer(x, dtype=stored) for x in group["raw"]]).astype(np.float64))
-        lists = [frozenset(np.frombuffer(x, dtype="<i4").tolist()) for x in group["filters"]]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        edges = []
-        for begin in range(0, len(left), 256):
-            a, b = np.nonzero(unit[left[begin : begin + 256]] @ unit[right].T >= cos)
-            a, b = left[begin + a], right[b]
+        """The links of some pairs of blocks: (u, u, links of u here) and forest edges (u, v, 0)."""
+        group = group.sort_values([*key, "i", "j"], ignore_index=True)
+        ids, own, filt = (group[c].to_numpy() for c in ("vec_id", "own", "filter"))
+        tags = group[[*key, "i", "j"]]
+        begin = np.flatnonzero(np.concatenate(([True], (tags.to_numpy()[1:] != tags.to_numpy()[:-1]).any(axis=1))))
+        raw, lengths = group["raw"].to_numpy(), group["size"].to_numpy()
+        edges: list[tuple[int, int]] = []
+        for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
+            i, j = int(group["i"].iat[first]), int(group["j"].iat[first])
+            unit = _unit(np.frombuffer(b"".join(raw[first:last]), dtype=stored).reshape(-1, lengths[first]).astype(np.float64))
+            left, right = np.flatnonzero(own[first:last] == i), np.flatnonzero(own[first:last] == j)
+            a, b = np.nonzero(unit[left] @ unit[right].T >= cos)
+            a, b = left[a] + first, right[b] + first
             apart = (ids[a] != ids[b]) & ((i != j) | (a < b))
-            edges += [(x, y) for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True) if min(lists[x] & lists[y]) == filt]
+            edges += zip(a[apart].tolist(), b[apart].tolist(), strict=True)
+        lists = {x: frozenset(np.frombuffer(group["filters"].iat[x], dtype="<i4").tolist()) for x in {x for e in edges for x in e}}
+        edges = [(x, y) for x, y in edges if min(lists[x] & lists[y]) == filt[x]]
         if not edges:
             return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-        a, b = np.array(edges).T
-        n = np.bincount(np.concatenate((a, b)), minlength=len(ids))
-        tree = _forest(a, b, len(ids))
-        linked = np.flatnonzero(n)
-        return pd.DataFrame({"u": np.concatenate((ids[linked], ids[a[tree]])), "v": np.concatenate((ids[linked], ids[b[tree]])), "n": np.concatenate((n[linked], np.zeros(len(tree), dtype=np.int64)))})
+        names, back = np.unique(ids, return_inverse=True)
+        a, b = back[np.array(edges).T]
+        n = np.bincount(np.concatenate((a, b)), minlength=len(names))
+        tree, linked = _forest(a, b, len(names)), np.flatnonzero(n)
+        return pd.DataFrame({"u": np.concatenate((names[linked], names[a[tree]])), "v": np.concatenate((names[linked], names[b[tree]])), "n": np.concatenate((n[linked], np.zeros(len(tree), dtype=np.int64)))})
 
-    found = checkpointed(dealt.groupBy(*key, "i", "j").applyInPandas(compared, "u bigint, v bigint, n bigint"))
+    found = checkpointed(dealt.groupBy(tasks).applyInPandas(lambda group: compared(group), "u bigint, v bigint, n bigint"))
     counts = found.where("u = v").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     roots = components(found.where("u <> v").select("u", "v"))
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
