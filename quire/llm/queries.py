@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embedding_dedup, langid, sentencepiece_codec, simhash, substring_dedup
+from quire.llm import embedding_dedup, langid, packing, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -50,3 +50,25 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir).select("doc_id"))
+
+
+ORACLES["op6_sharding"] = sharding.oracle()
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages.select("page_id", "url"), links=url_filter.aliases(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op8_url_filter"] = url_filter.oracle()
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir).select("doc_id", packing.word_count(F.col("text")).alias("length")))
