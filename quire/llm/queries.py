@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embedding_dedup, langid, packing, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
+from quire.llm import embedding_dedup, langid, license_scan, packing, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -72,3 +72,8 @@ ORACLES["op8_url_filter"] = url_filter.oracle()
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", packing.word_count(F.col("text")).alias("length")))
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
