@@ -164,18 +164,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
         for batch in batches:
             rid, th, places, kinds = batch["rid"].to_numpy(), batch["th"].to_numpy(), batch["places"].tolist(), batch["kinds"].tolist()
             for begin, flat in _flats(batch["text"].tolist(), window, seed_words):
-                for doc in range(len(flat.sizes)):
-                    at, kind = np.asarray(places[begin + doc], dtype=np.int64), np.asarray(kinds[begin + doc])
-                    size, first = int(flat.sizes[doc]), int(flat.first[doc])
-                    marks = np.zeros((2, size + 1), dtype=np.int64)
-                    for k in (1, 2):
-                        np.add.at(marks[k - 1], np.maximum(at[kind == k] - reach, 0), 1)
-                        np.add.at(marks[k - 1], np.minimum(at[kind == k], size - window) + 1, -1)
-                    candidate, member = np.cumsum(marks, axis=1) > 0
-                    start = np.flatnonzero(candidate | member)
-                    if len(start):
-                        key = [flat.hashes(w, start + first, start + first + window).view(np.int64) for w in (0, 1)]
-                        yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "start": start, "candidate": candidate[start], "k0": key[0], "k1": key[1]})
+                own = slice(begin, begin + len(flat.sizes))
+                doc = np.repeat(np.arange(len(flat.sizes)), [*map(len, places[own])])
+                at, kind = np.concatenate(places[own]).astype(np.int64) + flat.first[doc], np.concatenate(kinds[own])
+                low, high = np.maximum(at - reach, flat.first[doc]), np.minimum(at, flat.first[doc] + flat.sizes[doc] - window) + 1
+                n = len(flat.of)
+                candidate, member = (np.cumsum(np.bincount(low[kind == k], minlength=n + 1) - np.bincount(high[kind == k], minlength=n + 1)) > 0 for k in (1, 2))
+                start = np.flatnonzero(candidate | member)
+                doc = flat.of[start]
+                key = [flat.hashes(w, start, start + window).view(np.int64) for w in (0, 1)]
+                yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "start": start - flat.first[doc], "candidate": candidate[start], "k0": key[0], "k1": key[1]})
 
     open_ = found.select("rid", "th", F.filter("seeds", lambda s: s["kind"] > 0).alias("s")).where("size(s) > 0").select("rid", "th", F.col("s.at").alias("places"), F.col("s.kind").alias("kinds"))
     windows = docs.select("rid", "th", "text").join(open_, ["rid", "th"]).mapInPandas(extended, "rid bigint, th bigint, start int, candidate boolean, k0 bigint, k1 bigint")
