@@ -151,12 +151,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
                 yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "at": at - start, "anchor": anchor, "context": context, "a": a - start, "b": b - start})
 
     counts = docs.select("text").mapInPandas(counted, "anchor bigint, n bigint, low bigint, high bigint")
-    shared = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several"))
-    seeds = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint, a int, b int").join(shared, "anchor")
+    # The joins' added keys are functions of the others. They give both sides a plain shuffle of their own, which adaptive
+    # execution can split where an anchor or a class is hot; an aggregate's shuffle it can't.
+    shared = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several"), F.hash("anchor").alias("tag"))
+    seeds = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint, a int, b int").withColumn("tag", F.hash("anchor")).join(shared, ["anchor", "tag"])
     several = seeds.where("several")
     classes = several.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "th", "at")).alias("member"))
     kind = F.when(F.col("n") == 1, 1).when(F.col("member") == F.struct("rid", "th", "at"), 2).otherwise(0)
-    classed = several.join(classes, ["anchor", "context"]).select("rid", "th", F.struct("at", "a", "b", kind.alias("kind")).alias("s"))
+    both = ["anchor", "context", "tag"]
+    classed = several.withColumn("tag", F.hash("anchor", "context")).join(classes.withColumn("tag", F.hash("anchor", "context")), both).select("rid", "th", F.struct("at", "a", "b", kind.alias("kind")).alias("s"))
     alike = seeds.where("not several").select("rid", "th", F.struct("at", "a", "b", F.lit(0).alias("kind")).alias("s"))
     found = checkpointed(classed.unionByName(alike).groupBy("rid", "th").agg(F.collect_set("s").alias("seeds")))
 
@@ -178,7 +181,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     open_ = found.select("rid", "th", F.filter("seeds", lambda s: s["kind"] > 0).alias("s")).where("size(s) > 0").select("rid", "th", F.col("s.at").alias("places"), F.col("s.kind").alias("kinds"))
     windows = docs.select("rid", "th", "text").join(open_, ["rid", "th"]).mapInPandas(extended, "rid bigint, th bigint, start int, candidate boolean, k0 bigint, k1 bigint")
     again = windows.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    extra = windows.where("candidate").join(again, ["k0", "k1"]).groupBy("rid", "th").agg(F.collect_set("start").alias("starts"))
+    again = again.withColumn("tag", F.hash("k0", "k1"))
+    extra = windows.where("candidate").withColumn("tag", F.hash("k0", "k1")).join(again, ["k0", "k1", "tag"]).groupBy("rid", "th").agg(F.collect_set("start").alias("starts"))
     whole = found.select("rid", "th", F.transform(F.filter("seeds", lambda s: s["kind"] != 1), lambda s: F.struct(s["a"].alias("start"), s["b"].alias("stop"))).alias("spans"))
     extra = extra.select("rid", "th", F.transform("starts", lambda s: F.struct(s.alias("start"), (s + window).cast("int").alias("stop"))).alias("more"))
     spans = F.concat(F.coalesce("spans", F.expr("array()")), F.coalesce("more", F.expr("array()")))
