@@ -151,12 +151,14 @@ def components_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     return prints.join(by_print, "fingerprint").select("doc_id", unsigned_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
     """df with one row of each component: that with the smallest doc_id.
 
-    A component without any doc_id keeps all its rows: nothing tells them apart. Rows that repeat the
-    smallest doc_id with equal texts are one document and stay once; with other texts all of them stay.
+    Rows that repeat the smallest doc_id with equal texts are one document and stay once; with other texts all of them
+    stay, as nothing says which is meant. A component without any doc_id keeps one row of each of its texts.
     """
-    ids = components_of(df, text, doc_id, shingle).select(F.col("doc_id").alias("__id"), "component_id").where("component_id is null or __id = component_id").select("__id").distinct()
-    once = df.dropDuplicates([doc_id, text]) if text in df.columns else df
-    return once.join(ids, once[doc_id].eqNullSafe(ids["__id"]), "left_semi")
+    rid = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
+    found = components_of(df, text, doc_id, shingle)
+    ids = found.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__rid")).distinct()
+    kept = df.withColumn("__rid", rid).join(ids, "__rid", "left_semi")
+    return kept.dropDuplicates(["__rid", text]).drop("__rid")
