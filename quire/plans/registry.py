@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quire.plans import relational, vault_queries
+
+QUERIES: dict = vault_queries.QUERIES | relational.QUERIES
+ORACLES: dict[str, str] = vault_queries.ORACLES | relational.ORACLES
