@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embedding_dedup, langid, license_scan, packing, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
+from quire.llm import chroma, embedding_dedup, langid, license_scan, packing, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 from quire.llm.common import documents
 
 QUERIES: dict = {}
@@ -77,3 +77,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+@_query
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings; the bytes of each document's text are taken as 8-bit samples."""
+    return chroma.fingerprint_and_align(documents(spark, sf_dir), media="text")
