@@ -106,7 +106,7 @@ def ranked(files: DataFrame, query: str, folder: str = "/") -> DataFrame:
     return scored.join(F.broadcast(best)).select("file_id", "path", "version", F.when(F.col("best") > 0, F.least(F.greatest(F.col("raw") / F.col("best"), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("raw")).alias("score"))
 
 
-def search(files: DataFrame, query: str, folder: str = "/", limit: int = LIMIT, per_file: int = PER_FILE, sections: DataFrame | None = None) -> DataFrame:
+def search(files: DataFrame, query: str, folder: str = "/", limit: int | None = LIMIT, per_file: int = PER_FILE, sections: DataFrame | None = None) -> DataFrame:
     """Hit rows (path, version, line, text, section, score, more), best documents first, lines in order.
 
     more is how many lines of the document were held back by per_file. sections: (file_id, heading_path, level, line_from, line_to).
@@ -118,7 +118,7 @@ def search(files: DataFrame, query: str, folder: str = "/", limit: int = LIMIT,
     hits = line_hits(files.where(paths.under(F.col("path"), folder)), terms).join(docs.select("file_id", "score"), "file_id")
     by_file = Window.partitionBy("file_id")
     hits = hits.withColumns({"n": F.row_number().over(by_file.orderBy("line")), "all": F.count(F.lit(1)).over(by_file)}).where(F.col("n") <= per_file)
-    top = hits.orderBy(F.desc("score"), "path", "line").limit(limit)
+    top = hits if limit is None else hits.orderBy(F.desc("score"), "path", "line").limit(limit)
     if sections is not None:
         inside = sections.select("file_id", "heading_path", "level", "line_from", "line_to")
         placed = top.select("file_id", "line").join(inside, "file_id").where("line between line_from and line_to").groupBy("file_id", "line").agg(F.max_by("heading_path", F.struct("line_from", "level")).alias("section"))

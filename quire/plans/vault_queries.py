@@ -149,27 +149,27 @@ def _hits(condition: str, folder: str = "") -> str:
 
 @_query(_hits("list_contains(words, 'missing')"))
 def search_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "missing", limit=1_000_000, per_file=1000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "missing", limit=None, per_file=1000).select("path", "line")
 
 
 @_query(f"WITH {VAULT}, {LINES}, k AS (SELECT file_id, path, line, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM l), g AS (SELECT file_id FROM k GROUP BY 1 HAVING bool_or(list_contains(words, 'the')) AND bool_or(list_contains(words, 'license'))) SELECT path, line FROM k WHERE file_id IN (SELECT file_id FROM g) AND (list_contains(words, 'the') OR list_contains(words, 'license'))")
 def search_and2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "the AND license", limit=1_000_000, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "the AND license", limit=None, per_file=10_000).select("path", "line")
 
 
 @_query(_hits("' ' || array_to_string(words, ' ') || ' ' LIKE '% rights reserved %'"))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), '"rights reserved"', limit=1_000_000, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), '"rights reserved"', limit=None, per_file=10_000).select("path", "line")
 
 
 @_query(_hits("len(list_filter(words, lambda x: starts_with(x, 'licen'))) > 0"))
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "licen*", limit=1_000_000, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "licen*", limit=None, per_file=10_000).select("path", "line")
 
 
 @_query(_hits("list_contains(words, 'missing')", "/src1/"))
 def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "missing", "/src1", limit=1_000_000, per_file=1000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "missing", "/src1", limit=None, per_file=1000).select("path", "line")
 
 
 @_query(f"""WITH {VAULT}, {COUNTED}, {WORDS}, f AS (SELECT path, len(words) AS n, len(list_filter(words, lambda x: x = 'the')) AS a, len(list_filter(words, lambda x: x = 'license')) AS b FROM w),
@@ -214,22 +214,22 @@ s AS (SELECT h.path, h.heading, h.level, h.line AS line_from, coalesce((SELECT m
 
 @_query(f"WITH {HEADS} SELECT path, heading, level, line_from, line_to FROM s")
 def outline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.outline(structure.structure(_files(spark, sf_dir)), limit=100_000_000).select("path", "heading", "level", "line_from", "line_to")
+    return structure.outline(structure.structure(_files(spark, sf_dir)), limit=None).select("path", "heading", "level", "line_from", "line_to")
 
 
 @_query(f"WITH {HEADS} SELECT path, line_from FROM s WHERE lower(heading) = 'links'")
 def outline_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.outline(structure.structure(_files(spark, sf_dir)), heading="LINKS", limit=100_000_000).select("path", "line_from")
+    return structure.outline(structure.structure(_files(spark, sf_dir)), heading="LINKS", limit=None).select("path", "line_from")
 
 
 @_query(f"WITH {HEADS} SELECT path, heading FROM s WHERE starts_with(lower(heading), 'doc 1') AND starts_with(path, '/src1/')")
 def outline_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.outline(structure.structure(_files(spark, sf_dir)), "/src1", "Doc 1", "prefix", limit=100_000_000).select("path", "heading")
+    return structure.outline(structure.structure(_files(spark, sf_dir)), "/src1", "Doc 1", "prefix", limit=None).select("path", "heading")
 
 
 @_query(f"WITH {HEADS} SELECT path, heading FROM s WHERE contains(lower(heading), 'ote') AND level <= 3")
 def outline_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.outline(structure.structure(_files(spark, sf_dir)), heading="ote", mode="contains", max_level=3, limit=100_000_000).select("path", "heading")
+    return structure.outline(structure.structure(_files(spark, sf_dir)), heading="ote", mode="contains", max_level=3, limit=None).select("path", "heading")
 
 
 @_query(f"WITH {HEADS} SELECT min(heading) AS heading, count(*) AS sections, count(DISTINCT path) AS docs FROM s GROUP BY lower(heading) ORDER BY sections DESC, lower(min(heading)) LIMIT 2")
@@ -302,7 +302,7 @@ def backlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(LINKS + " SELECT path, target FROM r WHERE status = 'broken' AND starts_with(path, '/src1/')")
 def links_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.outgoing(_all_links(spark, sf_dir), "/src1", "broken", 100_000_000).select("path", "target")
+    return structure.outgoing(_all_links(spark, sf_dir), "/src1", "broken", None).select("path", "target")
 
 
 # --- history ------------------------------------------------------------------------------------------
