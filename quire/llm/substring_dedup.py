@@ -154,13 +154,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     # The joins' added keys are functions of the others. They give both sides a plain shuffle of their own, which adaptive
     # execution can split where an anchor or a class is hot; an aggregate's shuffle it can't.
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several"), F.hash("anchor").alias("tag"))
-    seeds = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint, a int, b int").withColumn("tag", F.hash("anchor")).join(shared, ["anchor", "tag"])
-    several = seeds.where("several")
+    # an occurrence is one array, so that the three branches below read the same columns and share one shuffle
+    names = ("rid", "th", "at", "a", "b", "context")
+    found_at = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint, a int, b int")
+    seeds = found_at.select("anchor", F.hash("anchor").alias("tag"), F.array(*[F.col(c).cast("bigint") for c in names]).alias("o")).where("o[5] is not null").join(shared, ["anchor", "tag"])
+    unpacked = [F.col("o")[i].cast("int" if c in ("at", "a", "b") else "bigint").alias(c) for i, c in enumerate(names)]
+    several = seeds.where("several").select("anchor", *unpacked)
     classes = several.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "th", "at")).alias("member"))
     kind = F.when(F.col("n") == 1, 1).when(F.col("member") == F.struct("rid", "th", "at"), 2).otherwise(0)
     both = ["anchor", "context", "tag"]
     classed = several.withColumn("tag", F.hash("anchor", "context")).join(classes.withColumn("tag", F.hash("anchor", "context")), both).select("rid", "th", F.struct("at", "a", "b", kind.alias("kind")).alias("s"))
-    alike = seeds.where("not several").select("rid", "th", F.struct("at", "a", "b", F.lit(0).alias("kind")).alias("s"))
+    alike = seeds.where("not several").select(*unpacked[:5]).select("rid", "th", F.struct("at", "a", "b", F.lit(0).alias("kind")).alias("s"))
     found = checkpointed(classed.unionByName(alike).groupBy("rid", "th").agg(F.collect_set("s").alias("seeds")))
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
