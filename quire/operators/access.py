@@ -55,12 +55,12 @@ def view(files: DataFrame, grants: list[dict]) -> DataFrame:
     return files.where(shown).withColumns({"share": share, "rights": rights, "path": path})
 
 
-def project_links(text: str, spans: list[dict], path: str, grants: list[dict]) -> str:
-    """text as a reader sees it: recorded target spans (at, target, resolved, resolved_id) that leave the view become textdb:ID."""
+def project_links(text: str, spans: list[dict], grants: list[dict], scheme: str = "node") -> str:
+    """text as a reader sees it: recorded target spans (at, target, resolved, resolved_id) that leave the view become scheme:ID."""
     shown = [g["root"] for g in check(grants) if g["state"] == "live"]
     for s in sorted((s for s in spans if s["at"] >= 0 and s.get("resolved")), key=lambda s: -s["at"]):
         if not any(s["resolved"] == r or s["resolved"].startswith(r + "/") for r in shown):
-            text = text[: s["at"]] + f"textdb:{s['resolved_id']}" + text[s["at"] + len(s["target"]) :]
+            text = text[: s["at"]] + f"{scheme}:{s['resolved_id']}" + text[s["at"] + len(s["target"]) :]
     return text
 
 

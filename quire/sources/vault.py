@@ -13,7 +13,7 @@ from quire.functions import paths
 #: Texts of these extensions have structure: headings, links, properties.
 MARKDOWN = ("md", "markdown")
 EXTENSIONS = ("md", "markdown", "mdx", "txt")
-SKIPPED = (".git", ".textdb", ".trash", "node_modules")
+SKIPPED = (".git", ".trash", "node_modules")
 
 # The test vault, as SQL that Spark and DuckDB read alike.
 _ID = "lpad(cast({} as string), 6, '0')"

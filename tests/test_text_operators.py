@@ -141,3 +141,9 @@ def test_grants():
     for clash in ([{"root": "/"}], [{"root": "/a"}, {"root": "/a/b"}], [{"root": "/a/x"}, {"root": "/b/x"}]):
         with pytest.raises(access.AccessError):
             access.check(clash)
+
+
+def test_hidden_links():
+    text = "see [[in]] and [[out]]"
+    spans = [{"at": 6, "target": "in", "resolved": "/team/in.md", "resolved_id": 1}, {"at": 17, "target": "out", "resolved": "/else/out.md", "resolved_id": 2}]
+    assert access.project_links(text, spans, [{"root": "/team"}]) == "see [[in]] and [[node:2]]"
