@@ -82,6 +82,33 @@ class File:
         return self._put(merged, "merged" if changed(self.head) & changed(mine) else "rebased")
 
 
+def _folded(file: File, path: str, ops: pd.DataFrame) -> pd.DataFrame:
+    """Outcomes of one file's operations, in order of seq."""
+    out = []
+    for row in ops.sort_values("seq").to_dict("records"):
+        base = None if pd.isna(row["base_version"]) else int(row["base_version"])
+        before = len(file.versions)
+        got = file.apply(row["op"], dict(row["args"] or {}), base)
+        out.append({"seq": row["seq"], "path": path, "version": len(file.versions) or None, "content": file.head if len(file.versions) > before else None, "author": row["author"], "message": row["message"], "base_version": base, **got})
+    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")], dtype=object)
+
+
+def fold_stream(ops: DataFrame) -> DataFrame:
+    """fold() of a stream: a file's versions are state, so a later batch's operations meet those of earlier ones."""
+    importable(ops.sparkSession)
+
+    def run(key: tuple, parts, state):
+        versions, is_live = state.get if state.exists else ([], False)
+        file = File([*versions])
+        file.live = is_live
+        out = _folded(file, key[0], pd.concat([*parts]))
+        state.update((file.versions, file.live))
+        yield out
+
+    rows = ops.select("path", "seq", "op", "args", F.col("base_version").cast("bigint"), "author", "message")
+    return rows.groupBy("path").applyInPandasWithState(run, OUTCOME, "versions array<string>, live boolean", "append", "NoTimeout")
+
+
 def fold(ops: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Outcomes of operations (seq, path, op, args map, base_version, author, message), each file's in order of seq.
 
@@ -91,13 +118,7 @@ def fold(ops: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     rows = ops.select("path", "seq", "op", "args", F.col("base_version").cast("bigint"), "author", "message")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        file, out = File([*right["versions"].iloc[0]] if len(right) else None), []
-        for row in left.sort_values("seq").to_dict("records"):
-            base = None if pd.isna(row["base_version"]) else int(row["base_version"])
-            before = len(file.versions)
-            got = file.apply(row["op"], dict(row["args"] or {}), base)
-            out.append({"seq": row["seq"], "path": key[0], "version": len(file.versions) or None, "content": file.head if len(file.versions) > before else None, "author": row["author"], "message": row["message"], "base_version": base, **got})
-        return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")], dtype=object)
+        return _folded(File([*right["versions"].iloc[0]] if len(right) else None), key[0], left)
 
     known = heads if heads is not None else ops.sparkSession.createDataFrame([], "path string, versions array<string>")
     return rows.groupBy("path").cogroup(known.groupBy("path")).applyInPandas(run, OUTCOME)
@@ -206,3 +227,10 @@ def path_events(before: DataFrame, after: DataFrame) -> DataFrame:
     return pair.withColumn("op", op)
 
 
+
+
+def purge_stats(gone: DataFrame, gone_chunks: DataFrame, live_chunks: DataFrame) -> DataFrame:
+    """One row: files, versions, and chunks and bytes that only versions of gone (file_id, version) hold."""
+    own = gone.agg(F.count_distinct("file_id").alias("files"), F.count(F.lit(1)).alias("versions"))
+    freed = gone_chunks.groupBy("hash").agg(F.max("nbytes").alias("nbytes")).join(live_chunks.select("hash"), "hash", "left_anti")
+    return own.join(freed.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("nbytes"), F.lit(0)).alias("bytes")))

@@ -307,3 +307,65 @@ def title_of(front: object, found: list[tuple[int, int, str]]) -> str | None:
         if title:
             return title
     return next((t for _, level, t in found if level == 1), None)
+
+
+# --- edits --------------------------------------------------------------------------------------
+
+
+def _rendered(value) -> str:
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_rendered, value)) + "]"
+    if isinstance(value, str):
+        return value if value and _scalar(value) == value and not re.search(r"[:#\[\]{},\"'\n]|^[-?&*!|>%@`\s]|\s$", value) else json.dumps(value, ensure_ascii=False)
+    return json.dumps(value)
+
+
+def set_property(text: str, key: str, value, remove: bool = False) -> str:
+    """text with a top-level property set, or removed; only that key's lines change.
+
+    A new key goes before the closing fence, and a text without front matter gets one. Line ends and a byte order mark stay.
+    """
+    mark, body = ("\ufeff", text[1:]) if text.startswith("\ufeff") else ("", text)
+    end = "\r\n" if "\r\n" in body.split("\n", 1)[0] + "\n" else "\n"
+    block, _ = split_front_matter(body)
+    line = f"{key}: {_rendered(value)}{end}"
+    if block is None:
+        return text if remove else f"{mark}---{end}{line}---{end}{body}"
+    begin = body.index("\n") + 1
+    rows = block.splitlines(keepends=True)
+    at = next((i for i, row in enumerate(rows) if (p := _pair(row.strip())) and p[0] == key and row[:1] not in " \t"), None)
+    if at is None:
+        new = block if remove else block + line
+    else:
+        stop = at + 1
+        while stop < len(rows) and (rows[stop][:1] in " \t" and rows[stop].strip() or rows[stop].startswith("- ")):
+            stop += 1
+        new = "".join([*rows[:at], *([] if remove else [line]), *rows[stop:]])
+    return mark + body[:begin] + new + body[begin + len(block) :]
+
+
+def relative(folder: str, target: str) -> str:
+    """An absolute path as seen from a folder."""
+    import posixpath
+
+    return posixpath.relpath(target, folder)
+
+
+def retargeted(text: str, moves: dict[int, str], path: str) -> str:
+    """text, a document at path, with the targets of links (by their place) turned to files that moved; each keeps its style.
+
+    Markdown links stay relative (a leading ./ or / and a missing .md are kept), wiki links name the file, or its path if they had one.
+    """
+    folder = path.rsplit("/", 1)[0] or "/"
+    for x in sorted((x for x in links(text) if x["at"] in moves), key=lambda x: -x["at"]):
+        new, old = moves[x["at"]], x["target"]
+        if x["kind"] in ("wiki", "embed"):
+            out = new.lstrip("/") if "/" in old else new.rsplit("/", 1)[1]
+        else:
+            out = new if old.startswith("/") else ("./" if old.startswith("./") else "") + relative(folder, new)
+        if not old.lower().endswith(".md"):
+            out = re.sub(r"\.md$", "", out)
+        if x["kind"] in ("md", "image"):
+            out, old = out.replace(" ", "%20"), text[x["at"] :][: len(re.match(r"[^#?)\s>]*", text[x["at"] :])[0])]
+        text = text[: x["at"]] + out + text[x["at"] + len(old) :]
+    return text

@@ -147,3 +147,20 @@ def test_hidden_links():
     text = "see [[in]] and [[out]]"
     spans = [{"at": 6, "target": "in", "resolved": "/team/in.md", "resolved_id": 1}, {"at": 17, "target": "out", "resolved": "/else/out.md", "resolved_id": 2}]
     assert access.project_links(text, spans, [{"root": "/team"}]) == "see [[in]] and [[node:2]]"
+
+
+def test_set_property():
+    text = "---\na: 1\nlist:\n  - x\n  - y\nb: two\n---\nbody\n"
+    assert markdown.set_property(text, "a", 5) == text.replace("a: 1", "a: 5")
+    assert markdown.set_property(text, "list", ["p", "q r"]) == text.replace("list:\n  - x\n  - y", "list: [p, q r]")
+    assert markdown.set_property(text, "c", "x: y") == text.replace("b: two\n", 'b: two\nc: "x: y"\n')
+    assert markdown.set_property(text, "list", None, remove=True) == text.replace("list:\n  - x\n  - y\n", "")
+    assert markdown.set_property("body\r\n", "k", True) == "---\r\nk: true\r\n---\r\nbody\r\n"
+    assert markdown.set_property("\ufeff---\nk: 1\n---\n", "k", "true") == '\ufeff---\nk: "true"\n---\n'
+    assert markdown.set_property("plain", "k", None, remove=True) == "plain"
+
+
+def test_retargeted():
+    text = "[a](./old.md#x) [[old]] [[dir/old.md|y]] ![i](/dir/old.md)\n"
+    places = {x["at"]: "/new place/here.md" for x in markdown.links(text)}
+    assert markdown.retargeted(text, places, "/dir/me.md") == "[a](./../new%20place/here.md#x) [[here]] [[new place/here.md|y]] ![i](/new%20place/here.md)\n"

@@ -97,3 +97,24 @@ def test_sql_views(spark):
     for bad in ("DROP VIEW files", "SELECT * FROM parquet.`/tmp/x`", "SELECT 1; SELECT 2"):
         with pytest.raises(ValueError):
             sql.run(spark, bad)
+
+
+def test_fold_of_a_stream(spark, tmp_path):
+    cols = "seq bigint, path string, op string, args map<string,string>, base_version bigint, author string, message string"
+    first = [(1, "/a", "create", {"content": "x\ny\n"}, None, "m", None), (2, "/b", "create", {"content": "b\n"}, None, "m", None)]
+    second = [(3, "/a", "append", {"content": "z\n"}, None, "m", None), (4, "/b", "create", {"content": "again"}, None, "m", None)]
+    out = {}
+    for n, batch in enumerate((first, second)):
+        spark.createDataFrame(batch, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+        stream = history.fold_stream(spark.readStream.schema(cols).parquet(str(tmp_path / "ops")))
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
+        query.foreachBatch(lambda df, i: out.update({r["seq"]: (r["status"], r["version"], r["content"]) for r in df.collect()})).start().awaitTermination(90)
+    assert out == {1: ("ok", 1, "x\ny\n"), 2: ("ok", 1, "b\n"), 3: ("ok", 2, "x\ny\nz\n"), 4: (history.INVALID, 1, None)}
+
+
+def test_purge_stats(spark):
+    from quire.operators import chunking
+
+    gone, kept = files(spark, {"/a.md": "a" * 700 + "\n" + "b" * 700}), files(spark, {"/b.md": "c"})
+    row = history.purge_stats(gone.select("file_id", "version"), chunking.chunks(gone), chunking.chunks(kept)).first()
+    assert row["files"] == row["versions"] == 1 and row["bytes"] == 1401 and row["chunks"] >= 1
