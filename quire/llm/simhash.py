@@ -162,6 +162,8 @@ def components_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 #: Similar texts: the least reliable bits of a segment that are flipped before decoding, the codewords kept of each
 #: segment, the bits in which fingerprints of candidates may differ, and the bins of the sketch that verifies them.
 FLIPS, KEPT, LOOSE_BITS, BINS = 5, 5, 16, 256
+#: Texts of one key that are compared at once, and rows of a task that compares, about.
+BLOCK, TASK_ROWS = 512, 10_000
 
 
 def soft_codewords(margin: np.ndarray) -> np.ndarray:
@@ -225,8 +227,8 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     Candidates share a pair of soft-decoded Golay codewords and differ in LOOSE_BITS bits at most; on near copies of 0.8 and
     more their recall was measured as complete. Equal fingerprints stand for one text. A first round links each text to the smallest of
-    each of its keys; a second compares what shares a key but no component yet. So a large group of copies costs
-    a star for each key, never its pairs.
+    each of its keys; a second compares, in blocks, what shares a key but no component yet. So a large group of copies costs
+    a star for each key, and what leaves a block are edges of a forest, never its pairs.
     """
     importable(df.sparkSession)
 
@@ -266,10 +268,52 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     first = checkpointed(_verified(stars, sketches, least))
     roots = checkpointed(components(first))
     member = classes.select("id", "fp", "codes").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "codes", F.coalesce("root", "id").alias("root"))
-    placed = member.mapInPandas(rooted, "key int, id bigint, fp bigint, root bigint")
-    a, b = placed.select("key", F.col("id").alias("u"), F.col("fp").alias("ufp"), F.col("root").alias("uroot")), placed.select("key", F.col("id").alias("v"), F.col("fp").alias("vfp"), F.col("root").alias("vroot"))
-    rest = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("uroot") != F.col("vroot")) & close(F.col("ufp"), F.col("vfp"))).select("u", "v").distinct()
-    second = checkpointed(_verified(rest, sketches, least))
+    placed = member.mapInPandas(rooted, "key int, id bigint, fp bigint, root bigint").withColumn("tag", F.hash("key"))
+    # only rows that have a candidate in another component go on, each once, however many it has
+    other = placed.select(F.col("key").alias("k"), F.col("fp").alias("kfp"), F.col("root").alias("kroot"))
+    active = placed.join(other.hint("merge"), (F.col("key") == F.col("k")) & (F.col("root") != F.col("kroot")) & close(F.col("fp"), F.col("kfp")), "left_semi")
+    active = checkpointed(active)
+    parts = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).withColumn("tag", F.hash("key"))
+    unsettled = checkpointed(active.join(parts, ["key", "tag"]).drop("tag"))
+    sketched = unsettled.withColumn("tid", F.hash("id")).join(sketches.withColumn("tid", F.hash("id")), ["id", "tid"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = sketched.select("key", "id", "fp", "root", "sketch", "own", F.explode(sides).alias("p")).select("key", "p.i", "p.j", "id", "fp", "root", "sketch", "own")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        """Edges that join what is similar in some pairs of blocks, one less than their members at most for each."""
+        group = group.sort_values(["key", "i", "j", "id"], ignore_index=True)
+        tags = group[["key", "i", "j"]].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], (tags[1:] != tags[:-1]).any(axis=1))))
+        ids, fp, root, own = (group[c].to_numpy() for c in ("id", "fp", "root", "own"))
+        marks = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, BINS)
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        edges = []
+        for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
+            i, j = tags[first, 1], tags[first, 2]
+            left, right = (first + np.flatnonzero(own[first:last] == k) for k in (i, j))
+            near = (np.bitwise_count(fp.view(np.uint64)[left][:, None] ^ fp.view(np.uint64)[right][None, :]) <= LOOSE_BITS) & (root[left][:, None] != root[right][None, :])
+            a, b = np.nonzero(near)
+            a, b = left[a], right[b]
+            a, b = a[ids[a] < ids[b]] if i == j else a, b[ids[a] < ids[b]] if i == j else b
+            for c in range(0, len(a), 8192):
+                x, y = marks[a[c : c + 8192]], marks[b[c : c + 8192]]
+                some = (x | y) > 0
+                alike = ((x == y) & some).sum(axis=1) >= least * np.maximum(1, some.sum(axis=1))
+                for u, v, ru, rv in zip(ids[a[c : c + 8192]][alike].tolist(), ids[b[c : c + 8192]][alike].tolist(), root[a[c : c + 8192]][alike].tolist(), root[b[c : c + 8192]][alike].tolist(), strict=True):
+                    ru, rv = find(ru), find(rv)
+                    if ru != rv:
+                        top[ru] = rv
+                        edges.append((u, v))
+        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+
+    work = unsettled.agg(F.sum("parts")).first()[0] or 0
+    second = checkpointed(dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))).applyInPandas(lambda group: compared(group), "u bigint, v bigint"))
     final = checkpointed(components(first.unionByName(second)))
     grouped = classes.select("fp", "id").join(final, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"), F.hash("fp").alias("tag"))
     return found.select("doc_id", "fp", F.hash("fp").alias("tag")).join(grouped, ["fp", "tag"]).select("doc_id", "component_id")
