@@ -12,6 +12,7 @@ its 23 neighbours. A fingerprint's keys therefore are, for each pair of segments
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -226,7 +227,8 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """(doc_id, component_id) of every row with doc_id: texts link if their shingle sets are similar by least or more.
 
     Candidates share a pair of soft-decoded Golay codewords and differ in LOOSE_BITS bits at most; on near copies of 0.8 and
-    more their recall was measured as complete. Equal fingerprints stand for one text. A first round links each text to the smallest of
+    more their recall was measured as complete. Texts of equal fingerprint and equal shingle sets stand for one text; those of equal
+    fingerprint only are candidates like any others. A first round links each text to the smallest of
     each of its keys; a second compares, in blocks, what shares a key but no component yet. So a large group of copies costs
     a star for each key, and what leaves a block are edges of a forest, never its pairs.
     """
@@ -240,7 +242,7 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 margin = np.stack([margins(h) for h in hashes])
                 fp = np.packbits(margin > 0, axis=1, bitorder="little").copy().view("<i8")[:, 0]
                 codes = soft_codewords(margin).astype("<i2")
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp, "codes": [c.tobytes() for c in codes], "sketch": [sketch(h) for h in hashes]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp, "whole": [hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() for h in hashes], "codes": [c.tobytes() for c in codes], "sketch": [sketch(h) for h in hashes]})
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -258,8 +260,8 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         yield from keyed(batches)
 
     rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = checkpointed(rows.mapInPandas(profiled, "doc_id bigint, fp bigint, codes binary, sketch binary"))
-    classes = checkpointed(found.groupBy("fp").agg(F.min(F.struct("doc_id", "codes", "sketch")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.codes", "m.sketch"))
+    found = checkpointed(rows.mapInPandas(profiled, "doc_id bigint, fp bigint, whole binary, codes binary, sketch binary"))
+    classes = checkpointed(found.groupBy("fp", "whole").agg(F.min(F.struct("doc_id", "codes", "sketch")).alias("m")).select("fp", "whole", F.col("m.doc_id").alias("id"), "m.codes", "m.sketch"))
     sketches = classes.select("id", "sketch")
     keys = classes.select("id", "fp", "codes").mapInPandas(keyed, "key int, id bigint, fp bigint")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= LOOSE_BITS
@@ -315,8 +317,8 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     work = unsettled.agg(F.sum("parts")).first()[0] or 0
     second = checkpointed(dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))).applyInPandas(lambda group: compared(group), "u bigint, v bigint"))
     final = checkpointed(components(first.unionByName(second)))
-    grouped = classes.select("fp", "id").join(final, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"), F.hash("fp").alias("tag"))
-    return found.select("doc_id", "fp", F.hash("fp").alias("tag")).join(grouped, ["fp", "tag"]).select("doc_id", "component_id")
+    grouped = classes.select("fp", "whole", "id").join(final, F.col("id") == F.col("node"), "left").select("fp", "whole", F.coalesce("root", "id").alias("component_id"), F.hash("fp").alias("tag"))
+    return found.select("doc_id", "fp", "whole", F.hash("fp").alias("tag")).join(grouped, ["fp", "whole", "tag"]).select("doc_id", "component_id")
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:

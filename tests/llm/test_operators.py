@@ -163,6 +163,17 @@ def test_similar_texts_meet(spark):
     assert similar >= 40 and joined >= 0.85 * similar
 
 
+def test_equal_fingerprints_are_verified(spark):
+    """A line repeated often fixes every bit of the fingerprint; texts with nothing else in common stay apart, equal ones meet."""
+    draw = random.Random(11)
+    line = words(draw, 9, 5000) * 100
+    rows = [(i, " ".join(line + words(draw, 90, 5000))) for i in range(4)]
+    rows.append((4, rows[2][1]))
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    got = simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert collected(got, "doc_id", "component_id") == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2)]
+
+
 # --- 3: chroma ----------------------------------------------------------------------------------
 
 
