@@ -8,6 +8,9 @@ word between them; both are among the codewords within four bits, which are thos
 its 23 neighbours. A fingerprint's keys therefore are, for each pair of segments, (nearby, nearest) and
 (nearest, nearby): about 29 of 24 bits. Fingerprints that share a key are joined and verified on all
 64 bits; no link is lost.
+
+Texts whose shingle sets are similar (the pipeline's near copies) are found without fingerprints, through keys that
+are the rarest shingles of each set.
 """
 
 from __future__ import annotations
@@ -160,134 +163,132 @@ def components_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     return prints.join(by_print, "fingerprint").select("doc_id", unsigned_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: Similar texts: the least reliable bits of a segment that are flipped before decoding, the codewords kept of each
-#: segment, the bits in which fingerprints of candidates may differ, and the bins of the sketch that verifies them.
-FLIPS, KEPT, LOOSE_BITS, BINS = 5, 5, 16, 256
-#: Texts of one key that are compared at once, and rows of a task that compares, about.
-BLOCK, TASK_ROWS = 512, 10_000
+#: Rows of the sample that tells frequent shingles, frequent shingles at most, texts of one key that are compared at once,
+#: and rows of a task that compares, about. The sample and its limit only order shingles: no order loses a pair.
+SAMPLE_ROWS, FREQUENT, BLOCK, TASK_ROWS = 10_000, 200_000, 512, 10_000
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of least or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
-def soft_codewords(margin: np.ndarray) -> np.ndarray:
-    """(rows, 3, KEPT) codeword indices of fingerprints by their bits' margins (rows, 64).
+def prefix(hashes: np.ndarray, least: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rarest first, of which sets that are similar by least share one.
 
-    Every subset of a segment's FLIPS bits of smallest margin is flipped and decoded; of the codewords found, those that
-    cost least margin stay (repeated if there are fewer). Fingerprints of similar texts differ in just such bits.
+    Of n shingles, a similar set holds least * n or more, so it can't miss all of the first n - ceil(least * n) + 1.
     """
-    out = np.zeros((len(margin), 3, KEPT), dtype=np.int64)
-    subsets = np.array([[k >> i & 1 for i in range(FLIPS)] for k in range(1 << FLIPS)])
-    rows = np.arange(len(margin))
-    for s, (start, size) in enumerate(SEGMENTS):
-        part = margin[:, start : start + size]
-        word = ((part > 0) << np.arange(size)).sum(axis=1)
-        weak = np.argsort(np.abs(part), axis=1, kind="stable")[:, :FLIPS]
-        cost = np.take_along_axis(np.abs(part), weak, axis=1) @ subsets.T
-        code = nearest(word[:, None] ^ (1 << weak) @ subsets.T)
-        order = np.argsort(cost, axis=1, kind="stable")
-        code = np.take_along_axis(code, order, axis=1)
-        out[:, s, :] = code[:, :1]
-        held = np.ones(len(margin), dtype=np.int64)
-        for k in range(1, code.shape[1]):
-            new = (held < KEPT) & (out[:, s, :] != code[:, k : k + 1]).all(axis=1)
-            out[rows[new], s, held[new]] = code[new, k]
-            held += new
-    return out
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """Of each of BINS bins of hashes, eight bits of the smallest (0: empty bin)."""
-    out = np.zeros(BINS, dtype=np.uint8)
-    if len(hashes):
-        ordered = np.sort(hashes << np.uint64(56) | hashes >> np.uint64(8))
-        bins, first = np.unique(ordered >> np.uint64(56), return_index=True)
-        out[bins.astype(np.int64)] = (ordered[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two sets of shingles by their sketches (standard error 0.025 at 0.8)."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    some = (x | y) > 0
-    return float((x == y)[some].mean()) if some.any() else 1.0
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sketches are at least so similar."""
+    rank = np.zeros(len(hashes), dtype=np.int64)
+    if len(frequent) and len(hashes):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        rank = np.where(frequent[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(least * n - 1e-9)) + 1]
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= least for x, y in zip(a, b, strict=True)])
 
-    # the added keys make the joins shuffle afresh, so that a row with many partners can be split
-    u, v = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
-    both = pairs.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
-    return both.where(near("su", "sv")).select("u", "v")
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the shingles that several texts of a sample hold."""
+    share = min(1 << 30, SAMPLE_ROWS * (1 << 30) // max(1, rows.count()))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, dtype="<u8"), return_counts=True)
+            yield pd.DataFrame({"h": h.view("<i8"), "n": n})
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share)
+    found = sample.mapInPandas(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = (np.array([r[k] for r in found], dtype=np.int64) for k in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
 
 
 def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row with doc_id: texts link if their shingle sets are similar by least or more.
 
-    Candidates share a pair of soft-decoded Golay codewords and differ in LOOSE_BITS bits at most; on near copies of 0.8 and
-    more their recall was measured as complete. Texts of equal fingerprint and equal shingle sets stand for one text; those of equal
-    fingerprint only are candidates like any others. A first round links each text to the smallest of
-    each of its keys; a second compares, in blocks, what shares a key but no component yet. So a large group of copies costs
-    a star for each key, and what leaves a block are edges of a forest, never its pairs.
+    No such pair is lost: similar sets share a shingle of their prefixes (see prefix), and every candidate is verified on the
+    whole sets. Equal sets stand for one text. A first round links each text to the smallest of each of its keys; a second
+    compares, in blocks, what shares a key but no component yet. So a large group of copies costs a star for each key, and
+    what leaves a block are edges of a forest, never its pairs.
     """
     importable(df.sparkSession)
+    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
 
     def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            keys = [prefix(s, least, *frequent.value).tobytes() for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "whole": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": [*map(len, sets)], "keys": keys})
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch[a : a + 1024]
-                hashes = [shingle_hashes(t, shingle) for t in part["text"]]
-                margin = np.stack([margins(h) for h in hashes])
-                fp = np.packbits(margin > 0, axis=1, bitorder="little").copy().view("<i8")[:, 0]
-                codes = soft_codewords(margin).astype("<i2")
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp, "whole": [hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() for h in hashes], "codes": [c.tobytes() for c in codes], "sketch": [sketch(h) for h in hashes]})
+                size = np.array([len(k) // 8 for k in part["keys"]], dtype=np.int64)
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                n = np.repeat(part["n"].to_numpy(), size)
+                yield pd.DataFrame({"key": np.frombuffer(b"".join(part["keys"]), dtype="<i8"), "id": np.repeat(part["id"].to_numpy(), size), "n": n, "rest": (n - at).astype(np.int32)})
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a in range(0, len(batch), 4096):
-                part = batch[a : a + 4096]
-                codes = np.frombuffer(b"".join(part["codes"]), dtype="<i2").reshape(-1, 3, KEPT).astype(np.int64)
-                keys = np.concatenate([(k << 24 | codes[:, i, :, None] << 12 | codes[:, j, None, :]).reshape(len(part), -1) for k, (i, j) in enumerate(combinations(range(3), 2))], axis=1)
-                keys = np.sort(keys, axis=1)
-                new = np.ones(keys.shape, dtype=bool)
-                new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-                row = np.nonzero(new)[0]
-                yield pd.DataFrame({"key": keys[new].astype(np.int32)} | {c: part[c].to_numpy()[row] for c in part.columns if c != "codes"})
-
-    def rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from keyed(batches)
+            sets = [shingle_set(t, shingle).tobytes() for t in batch["text"]]
+            own = np.array([hashlib.blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, batch["whole"], strict=True)], dtype=bool)
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[own], "set": [s for s, ok in zip(sets, own, strict=True) if ok]})
+
+    found = checkpointed(rows.mapInPandas(profiled, "doc_id bigint, whole binary, n int, keys binary"))
+    classes = checkpointed(found.groupBy("whole").agg(F.min(F.struct("doc_id", "n", "keys")).alias("m")).select("whole", F.col("m.doc_id").alias("id"), "m.n", "m.keys"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, set) of the classes of some ids."""
+        wanted = ids.distinct().join(classes.select("id", "whole"), "id")
+        texts = rows.join(wanted, F.col("doc_id") == F.col("id")).dropDuplicates(["id", "whole", "text"])
+        return checkpointed(texts.select("id", "whole", "text").mapInPandas(taken, "id bigint, set binary"))
+
+    # rest: how many shingles a set has from its key on; before the first key that two share, they share none
+    may = lambda n, rest, m, others: F.least(rest, others) >= least / (1 + least) * (n + m) - 1e-6
+    keys = classes.select("id", "n", "keys").mapInPandas(keyed, "key bigint, id bigint, n int, rest int")
+    heads = keys.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", F.hash("key").alias("tag"), "h")
+    # the added keys make the joins shuffle afresh, so that a hot key or a row with many partners can be split
+    shared = checkpointed(keys.withColumn("tag", F.hash("key")).join(checkpointed(heads), ["key", "tag"]).select("key", "id", "n", "rest", "h"))
+    stars = checkpointed(shared.where((F.col("id") != F.col("h.id")) & may(F.col("n"), F.col("rest"), F.col("h.n"), F.col("h.rest"))).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct())
+    sets = sets_of(stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))))
 
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = checkpointed(rows.mapInPandas(profiled, "doc_id bigint, fp bigint, whole binary, codes binary, sketch binary"))
-    classes = checkpointed(found.groupBy("fp", "whole").agg(F.min(F.struct("doc_id", "codes", "sketch")).alias("m")).select("fp", "whole", F.col("m.doc_id").alias("id"), "m.codes", "m.sketch"))
-    sketches = classes.select("id", "sketch")
-    keys = classes.select("id", "fp", "codes").mapInPandas(keyed, "key int, id bigint, fp bigint")
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= LOOSE_BITS
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.hash("key").alias("tag"), F.col("h.id").alias("u"), F.col("h.fp").alias("ufp"))
-    stars = keys.withColumn("tag", F.hash("key")).join(heads, ["key", "tag"]).where((F.col("id") != F.col("u")) & close(F.col("fp"), F.col("ufp"))).select("u", F.col("id").alias("v")).distinct()
-    first = checkpointed(_verified(stars, sketches, least))
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least) for x, y in zip(a, b, strict=True)])
+
+    u, v = (sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
+    both = stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
+    first = checkpointed(both.where(near("su", "sv")).select("u", "v"))
     roots = checkpointed(components(first))
-    member = classes.select("id", "fp", "codes").join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "codes", F.coalesce("root", "id").alias("root"))
-    placed = member.mapInPandas(rooted, "key int, id bigint, fp bigint, root bigint").withColumn("tag", F.hash("key"))
+    placed = checkpointed(shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "rest", F.coalesce("root", "id").alias("root"))).withColumn("tag", F.hash("key"))
     # only rows that have a candidate in another component go on, each once, however many it has
-    other = placed.select(F.col("key").alias("k"), F.col("fp").alias("kfp"), F.col("root").alias("kroot"))
-    active = placed.join(other.hint("merge"), (F.col("key") == F.col("k")) & (F.col("root") != F.col("kroot")) & close(F.col("fp"), F.col("kfp")), "left_semi")
+    other = placed.select(F.col("key").alias("k"), F.col("n").alias("kn"), F.col("rest").alias("krest"), F.col("root").alias("kroot"))
+    active = placed.join(other.hint("merge"), (F.col("key") == F.col("k")) & (F.col("root") != F.col("kroot")) & may(F.col("n"), F.col("rest"), F.col("kn"), F.col("krest")), "left_semi")
     active = checkpointed(active)
-    parts = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).withColumn("tag", F.hash("key"))
+    # copies share many keys; of keys with the same active members one is compared, whatever the places of its shingle
+    mixed = F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("id", F.lit(1)))
+    alike_keys = active.groupBy("key").agg(F.count(F.lit(1)).alias("m"), mixed[0].alias("s"), mixed[1].alias("x")).groupBy("m", "s", "x").agg(F.min("key").alias("key"))
+    parts = alike_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")).withColumn("tag", F.hash("key"))
     unsettled = checkpointed(active.join(parts, ["key", "tag"]).drop("tag"))
-    sketched = unsettled.withColumn("tid", F.hash("id")).join(sketches.withColumn("tid", F.hash("id")), ["id", "tid"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    open_sets = sets_of(unsettled.select("id"))
+    held = unsettled.withColumn("tid", F.hash("id")).join(open_sets.withColumn("tid", F.hash("id")), ["id", "tid"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = sketched.select("key", "id", "fp", "root", "sketch", "own", F.explode(sides).alias("p")).select("key", "p.i", "p.j", "id", "fp", "root", "sketch", "own")
+    dealt = held.select("key", "id", "n", "root", "set", "own", F.explode(sides).alias("p")).select("key", "p.i", "p.j", "id", "n", "root", "set", "own")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         """Edges that join what is similar in some pairs of blocks, one less than their members at most for each."""
         group = group.sort_values(["key", "i", "j", "id"], ignore_index=True)
         tags = group[["key", "i", "j"]].to_numpy()
         begin = np.flatnonzero(np.concatenate(([True], (tags[1:] != tags[:-1]).any(axis=1))))
-        ids, fp, root, own = (group[c].to_numpy() for c in ("id", "fp", "root", "own"))
-        marks = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, BINS)
+        ids, n, root, own = (group[c].to_numpy() for c in ("id", "n", "root", "own"))
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -296,29 +297,36 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             return x
 
         edges = []
-        for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
-            i, j = tags[first, 1], tags[first, 2]
-            left, right = (first + np.flatnonzero(own[first:last] == k) for k in (i, j))
-            near = (np.bitwise_count(fp.view(np.uint64)[left][:, None] ^ fp.view(np.uint64)[right][None, :]) <= LOOSE_BITS) & (root[left][:, None] != root[right][None, :])
-            a, b = np.nonzero(near)
-            a, b = left[a], right[b]
-            a, b = a[ids[a] < ids[b]] if i == j else a, b[ids[a] < ids[b]] if i == j else b
-            for c in range(0, len(a), 8192):
-                x, y = marks[a[c : c + 8192]], marks[b[c : c + 8192]]
-                some = (x | y) > 0
-                alike = ((x == y) & some).sum(axis=1) >= least * np.maximum(1, some.sum(axis=1))
-                for u, v, ru, rv in zip(ids[a[c : c + 8192]][alike].tolist(), ids[b[c : c + 8192]][alike].tolist(), root[a[c : c + 8192]][alike].tolist(), root[b[c : c + 8192]][alike].tolist(), strict=True):
-                    ru, rv = find(ru), find(rv)
+        for start, stop in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
+            i, j = tags[start, 1], tags[start, 2]
+            left, right = (start + np.flatnonzero(own[start:stop] == k) for k in (i, j))
+            if not len(left) or not len(right):
+                continue
+            hashes = [np.frombuffer(s, "<u8") for s in group["set"][start:stop]]
+            size = np.array([*map(len, hashes)])
+            code = np.split(np.unique(np.concatenate(hashes), return_inverse=True)[1], np.cumsum(size)[:-1])
+            facing = np.concatenate([code[b - start] for b in right])
+            first_of = np.cumsum(size[right - start]) - size[right - start]
+            marked = np.zeros(int(size.sum()), dtype=bool)
+            for a in left.tolist():
+                open_ = (root[right] != root[a]) & (np.minimum(n[right], n[a]) >= least * np.maximum(n[right], n[a]) - 1e-6) & ((ids[right] > ids[a]) | (i != j))
+                if not open_.any():
+                    continue
+                marked[code[a - start]] = True
+                common = np.add.reduceat(marked[facing].astype(np.int64), first_of)
+                marked[code[a - start]] = False
+                for b in right[open_ & (common >= least * (size[a - start] + size[right - start] - common) - 1e-9)].tolist():
+                    ru, rv = find(int(root[a])), find(int(root[b]))
                     if ru != rv:
                         top[ru] = rv
-                        edges.append((u, v))
+                        edges.append((int(ids[a]), int(ids[b])))
         return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
     work = unsettled.agg(F.sum("parts")).first()[0] or 0
     second = checkpointed(dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))).applyInPandas(lambda group: compared(group), "u bigint, v bigint"))
     final = checkpointed(components(first.unionByName(second)))
-    grouped = classes.select("fp", "whole", "id").join(final, F.col("id") == F.col("node"), "left").select("fp", "whole", F.coalesce("root", "id").alias("component_id"), F.hash("fp").alias("tag"))
-    return found.select("doc_id", "fp", "whole", F.hash("fp").alias("tag")).join(grouped, ["fp", "whole", "tag"]).select("doc_id", "component_id")
+    grouped = classes.select("whole", "id").join(final, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("component_id"), F.hash("whole").alias("tag"))
+    return found.select("doc_id", "whole", F.hash("whole").alias("tag")).join(grouped, ["whole", "tag"]).select("doc_id", "component_id")
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:

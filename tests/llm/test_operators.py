@@ -174,6 +174,28 @@ def test_equal_fingerprints_are_verified(spark):
     assert collected(got, "doc_id", "component_id") == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2)]
 
 
+def test_similar_texts_are_all_found(spark, monkeypatch):
+    """Components are those of brute force over all pairs of 0.8 and more, be the copies edited or a line repeated."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    draw = random.Random(12)
+    rows, line = [], words(draw, 9, 5000)
+    for f in range(24):
+        base = words(draw, 200 + 20 * f, 5000)
+        for edits in (0, 2, 3, 4, 4, 5, 6):
+            w = [*base]
+            for _ in range(edits):
+                w[draw.randrange(len(w))] = f"edit{draw.random()}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base + line)))
+        rows.append((len(rows), " ".join(base + line * 20)))
+    draw.shuffle(rows)
+    sets = {d: {" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for d, x in ((d, t.split()) for d, t in rows)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = brute_components(pairs, sets)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and len(pairs) > 300
+
+
 # --- 3: chroma ----------------------------------------------------------------------------------
 
 
