@@ -231,6 +231,21 @@ def test_chroma_edges(spark):
     assert chroma.fingerprint_and_align(edge_docs(spark).limit(0), media="text").count() == 0
 
 
+def test_votes_of_all_recordings(spark):
+    """Against brute force: a jingle in a smaller recording, whole copies, loops, and random codes of which many are hot."""
+    draw = random.Random(13)
+    song = list(range(1000, 1100))
+    codes = {1: song[:60], 2: [7, *song], 3: song, 4: [8, 9, *song], 5: song, 6: [1, 2, 1, 2, 1, 2, 3], 7: [2, 1, 2, 3], 8: [5], 9: [5], 10: [5, 6], 11: [], 12: [77]}
+    codes |= {i: [draw.randrange(12) for _ in range(draw.randrange(1, 6))] for i in range(20, 90)}
+    rows = [(d, len(c), c, hashlib.sha256(np.array(c, dtype="<u4").tobytes()).hexdigest()) for d, c in codes.items()]
+    got = {r["doc_id"]: (r["aligned_id"], r["offset"], r["votes"]) for r in chroma.align(spark.createDataFrame(rows, "doc_id bigint, n_frames bigint, codes array<int>, fingerprint_sha256 string")).collect()}
+    for d, c in codes.items():
+        votes = Counter((o, i - j) for o, x in codes.items() if o != d for i, a in enumerate(c) for j, b in enumerate(x) if a == b)
+        best = min(((-n, o, k) for (o, k), n in votes.items()), default=None)
+        assert got[d] == ((best[1], best[2], -best[0]) if best else (None, None, None))
+    assert got[3] == (2, -1, 100)
+
+
 # --- 4: licenses --------------------------------------------------------------------------------
 
 
