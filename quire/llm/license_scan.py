@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A text becomes its words, each between spaces of its own, so that a rule's match has word bounds on both sides
-and matches side by side don't share a space. Texts without any of a few stems are done after one look. In the others,
-a family's rules run only where its keyword occurs. Every match is an interval with its rule's priority; in
+and matches side by side don't share a space. A family's rules run only where its keyword, which every match of them
+holds, occurs. Every match is an interval with its rule's priority; in
 order of start, longest first, a match is dropped if a match of the same or a higher priority holds it. What
 remains gives labels and score. All of it is one row's own expression: no shuffle, no Python.
 """
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: (phrase, label) whose every place counts, overlapped or not.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: A text without any of these has no match of any rule.
-STEMS = ("licen", "copyright", "cc", "rights", "public domain", "spdx", "warrant", "creative commons", "redistribution", "permission")
 
 # Families: label, keyword (it occurs in every text that a rule of the family matches), the ways to write
 # the name, and the versions that make a label of their own. In names and templates a word? may be missing, (a|b) is
@@ -73,6 +71,8 @@ NAMED = (("{} (license|licence)", 1, 0.7), ("(licensed|released|distributed|avai
 VERSIONED = (("{} (license|licence)? version? {}", 2, 0.95), ("{} (license|licence)? v{}", 2, 0.95), ("spdx license identifier {} {}", 3, 1.0))
 CREATIVE = tuple((f"cc-{'-'.join(kind)}", " ".join(kind)) for kind in (("by",), ("by", "sa"), ("by", "nc"), ("by", "nd"), ("by", "nc", "sa"), ("by", "nc", "nd")))
 WORDED = {"by": "attribution", "sa": "share? (alike|sharealike)", "nc": "(noncommercial|non) commercial?", "nd": "(noderivatives|noderivs|no) (derivatives|derivs)?"}
+#: Keywords that are parts of words; all others are whole words.
+STEMS = ("warrant",)
 #: Single rules: (label, keyword, words, priority, confidence)
 SINGLE = (
     ("cc0", "cc0", "cc0", 2, 0.9),
@@ -88,7 +88,7 @@ SINGLE = (
     ("no-warranty", "warrant", "without any? (express|implied)? (warranty|warranties)", 1, 0.4),
     ("gpl", "gnu", "gnu gpl", 1, 0.8),
     ("open-source", "open source", "open source (license|licence|software)", 0, 0.3),
-    ("proprietary", "all rights", "no part of this * may be reproduced", 2, 0.9),
+    ("proprietary", "no part of", "no part of this * may be reproduced", 2, 0.9),
 )
 
 
@@ -148,19 +148,15 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     Repeated rows are scanned each for itself.
     """
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    kept = [c for c in df.columns if c not in (*new, "__text", "__hit")]
+    kept = [c for c in df.columns if c not in (*new, "__text")]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], spaced(F.col(text)).alias("__text"))
     body = F.col("__text")
-    loose = F.lit(False)
-    for stem in STEMS:
-        loose = loose | body.contains(_phrase(stem).strip() if " " in stem else stem)
-    rows = rows.withColumn("__hit", loose)
-    places = [F.when(F.col("__hit"), ((F.length(body) - F.length(F.replace(body, F.lit(_phrase(p)), F.lit("")))) / len(_phrase(p))).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for p, _ in BASE]
+    places = [F.when(body.contains(_phrase(p)), ((F.length(body) - F.length(F.replace(body, F.lit(_phrase(p)), F.lit("")))) / len(_phrase(p))).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for p, _ in BASE]
     rows = rows.withColumns({f"__n{i}": n for i, n in enumerate(places)} | {"n_words": _words_in(body)})
     firsts = [F.when(F.col(f"__n{i}") > 0, _words_in(F.substring_index(body, _phrase(p), 1))) for i, (p, _) in enumerate(BASE)]
     lasts = [F.when(F.col(f"__n{i}") > 0, F.col("n_words") - _words_in(F.substring_index(body, _phrase(p), -1)) - len(p.split())) for i, (p, _) in enumerate(BASE)]
     base = F.array_compact(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
-    rows = rows.withColumns({"n_base": sum((F.col(f"__n{i}") for i in range(1, len(BASE))), F.col("__n0")), "first_word": F.least(*firsts), "last_word": F.greatest(*lasts), "__base": base, "__found": F.when(F.col("__hit"), _survivors(body))})
+    rows = rows.withColumns({"n_base": sum((F.col(f"__n{i}") for i in range(1, len(BASE))), F.col("__n0")), "first_word": F.least(*firsts), "last_word": F.greatest(*lasts), "__base": base, "__found": _survivors(body)})
     every = F.array_distinct(F.concat("__base", F.coalesce(F.col("__found.labels"), F.array().cast("array<string>"))))
     sure = F.greatest(F.coalesce(F.col("__found.sure"), F.lit(0.0)), F.when(F.size("__base") > 0, F.lit(0.6)).otherwise(F.lit(0.0)))
     return rows.select(*[F.col(f"`{c}`") for c in kept if c != text], *([F.col(f"`{text}`")] if text in kept else []), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("__base")), ",").alias("base_labels"), F.array_join(F.array_sort(every), ",").alias("labels"), sure.alias("score"))
@@ -172,7 +168,7 @@ def _survivors(body: Column) -> Column:
     for r in rules():
         by_keyword.setdefault(r[1], []).append(r)
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    groups = "array(" + ", ".join(f"named_struct('k', {quoted(_phrase(k).strip())}, 'r', array(" + ", ".join(f"named_struct('l', {quoted(label)}, 'e', {quoted(e)}, 'p', {p}, 's', {s}D)" for label, _, e, p, s in own) + "))" for k, own in by_keyword.items()) + ")"
+    groups = "array(" + ", ".join(f"named_struct('k', {quoted(_phrase(k) if k not in STEMS else k)}, 'r', array(" + ", ".join(f"named_struct('l', {quoted(label)}, 'e', {quoted(e)}, 'p', {p}, 's', {s}D)" for label, _, e, p, s in own) + "))" for k, own in by_keyword.items()) + ")"
     due = F.flatten(F.transform(F.filter(F.expr(groups), lambda g: body.contains(g["k"])), lambda g: g["r"]))
 
     def intervals(rule: Column) -> Column:

@@ -273,6 +273,23 @@ def test_license_scan(spark, docs):
     assert license_scan.scan(edge_docs(spark).limit(0)).count() == 0 and license_scan.scan(edge_docs(spark)).count() == 10
 
 
+def test_license_scan_without_gate(spark):
+    """A text of each rule's own words and no others, and texts without 'license' or 'copyright'."""
+
+    def written(e):
+        e = e.replace("(?: [^ ]+ )?", "").replace(" [^ ]+ ", " some ")
+        e = re.sub(r"\(\?:([^()|]*)\)\?", r"\1", e)
+        return " ".join(re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", e).replace("?", "").replace("(:", " ").replace(")", " ").split())
+
+    texts = ["Distributed under Apache 2.0", "released under the GPL v3", "BSD 3 clause", "no part of this work may be reproduced", "GNU GPL", "open source software", "under the terms of the MIT", "mitten in Permits vimeo"]
+    texts += [written(e) for _, _, e, _, _ in license_scan.rules()]
+    assert all(brute_scan(t)[5] for t in texts[:7])
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sum(brute_scan(t)[6] > 0 for t in texts) > 550
+    for r in rows:
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == brute_scan(r["text"])
+
+
 # --- 5: repeated passages -----------------------------------------------------------------------
 
 
