@@ -74,12 +74,12 @@ def _absolute(target: Column, host: Column, path: Column) -> Column:
 
 
 def aliases(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) URLs: where a page's canonical link or refresh leads; pages without one give no row."""
+    """(source, target) URLs: where each of a page's canonical links and refreshes leads; pages without one give no row."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    found = [F.nullif(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), f"(?is){t}", 1), F.lit("")) for t in TARGETS]
+    found = [F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(f"(?is){t}"), F.lit(1)) for t in TARGETS]
     marked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv") & (host != ""))
-    told = marked.select(F.col(url).alias("source"), host.alias("host"), path.alias("path"), F.array_compact(F.array(*found)).alias("found"))
-    return told.where("size(found) > 0").select("source", _absolute(F.col("found")[0], F.col("host"), F.col("path")).alias("target"))
+    told = marked.select(F.col(url).alias("source"), host.alias("host"), path.alias("path"), F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("found"))
+    return told.where("found <> ''").select("source", _absolute(F.col("found"), F.col("host"), F.col("path")).alias("target"))
 
 
 def judge(pages: DataFrame, rules=RULES, links: DataFrame | None = None, url: str = "url") -> DataFrame:

@@ -409,6 +409,15 @@ def test_url_aliases(spark):
     assert url_filter.judge(pages.limit(0), links=url_filter.aliases(pages.limit(0))).count() == 0
 
 
+def test_url_aliases_are_all_edges(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    html = [link.format("/c") + refresh.format("http://z.net/es/bad"), link.format("/c") + link.format("http://z.net/es/bad"), refresh.format("/c") + link.format("/c") + refresh.format("")]
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
+    edges = url_filter.aliases(pages)
+    assert collected(edges, "source", "target") == [(f"http://h{i}.org/", t) for i in range(2) for t in (f"http://h{i}.org/c", "http://z.net/es/bad")] + [("http://h2.org/", "http://h2.org/c")]
+    assert collected(url_filter.judge(pages, links=edges), "page_id", "verdict") == [(0, "block"), (1, "block"), (2, "allow")]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(name, spark, sf_dir):
     con = duckdb.connect()
