@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,16 @@ def _grams(raw: np.ndarray, order: int) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """(n, bits) of -1 and +1: every way to part up to five languages, else random columns, none twice."""
+    """(n, bits) of -1 and +1: every way to part up to five languages, every balanced one of few, else random balanced columns, none twice."""
     if n <= 5:
         bits = [[1] + [1 if k >> i & 1 else -1 for i in range(n - 1)] for k in range((1 << n - 1) - 1)]
         return np.array(bits, dtype=np.int64).reshape(-1, n).T
+    wanted, exist = 12 * math.ceil(math.log2(n)), math.comb(n, n // 2) // (2 - n % 2)
+    if exist <= wanted:
+        ways = [np.isin(np.arange(n), chosen) * 2 - 1 for chosen in combinations(range(n), n // 2)]
+        return np.unique([column * column[0] for column in ways], axis=0).T
     draw, columns = np.random.default_rng(n), {}
-    while len(columns) < 12 * math.ceil(math.log2(n)):
+    while len(columns) < wanted:
         column = draw.permutation(np.where(np.arange(n) < n // 2, 1, -1))
         columns.setdefault((column * column[0]).tobytes(), column * column[0])
     return np.stack([*columns.values()], axis=1)

@@ -453,6 +453,12 @@ def test_language_edges(spark, docs):
     assert [r[0] for r in swapped.orderBy("doc_id").select("lang_pred").collect()] == [r[0] for r in langid.identify(docs, model).orderBy("doc_id").select("lang_pred").collect()]
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_codewords_end(n):
+    codes = langid.codewords(n)
+    assert codes.shape[0] == n and len({tuple(c * c[0]) for c in codes.T}) == codes.shape[1] and len({tuple(r) for r in codes}) == n
+
+
 # --- 10: vectors --------------------------------------------------------------------------------
 
 
