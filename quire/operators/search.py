@@ -106,18 +106,22 @@ def ranked(files: DataFrame, query: str, folder: str = "/") -> DataFrame:
     return scored.join(F.broadcast(best)).select("file_id", "path", "version", F.when(F.col("best") > 0, F.least(F.greatest(F.col("raw") / F.col("best"), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("raw")).alias("score"))
 
 
-def search(files: DataFrame, query: str, folder: str = "/", limit: int | None = LIMIT, per_file: int = PER_FILE, sections: DataFrame | None = None) -> DataFrame:
+def search(files: DataFrame, query: str, folder: str = "/", limit: int | None = LIMIT, per_file: int | None = PER_FILE, sections: DataFrame | None = None) -> DataFrame:
     """Hit rows (path, version, line, text, section, score, more), best documents first, lines in order.
 
-    more is how many lines of the document were held back by per_file. sections: (file_id, heading_path, level, line_from, line_to).
+    more is how many lines of the document were held back by per_file (None: no limit). sections: (file_id, heading_path, level, line_from, line_to).
     """
     terms = parse(query)
     docs = ranked(files, query, folder)
     if not terms:
         return docs.select("path", "version", F.lit(0).cast("bigint").alias("line"), F.lit("").alias("text"), F.lit(None).cast("string").alias("section"), "score", F.lit(0).cast("bigint").alias("more"))
     hits = line_hits(files.where(paths.under(F.col("path"), folder)), terms).join(docs.select("file_id", "score"), "file_id")
-    by_file = Window.partitionBy("file_id")
-    hits = hits.withColumns({"n": F.row_number().over(by_file.orderBy("line")), "all": F.count(F.lit(1)).over(by_file)}).where(F.col("n") <= per_file)
+    if per_file is None:
+        hits = hits.withColumn("more", F.lit(0).cast("bigint"))
+    else:
+        by_file = Window.partitionBy("file_id")
+        hits = hits.withColumns({"n": F.row_number().over(by_file.orderBy("line")), "all": F.count(F.lit(1)).over(by_file)}).where(F.col("n") <= per_file)
+        hits = hits.withColumn("more", F.greatest(F.col("all") - per_file, F.lit(0)).cast("bigint"))
     top = hits if limit is None else hits.orderBy(F.desc("score"), "path", "line").limit(limit)
     if sections is not None:
         inside = sections.select("file_id", "heading_path", "level", "line_from", "line_to")
@@ -125,7 +129,7 @@ def search(files: DataFrame, query: str, folder: str = "/", limit: int | None =
         top = top.join(placed, ["file_id", "line"], "left")
     else:
         top = top.withColumn("section", F.lit(None).cast("string"))
-    return top.orderBy(F.desc("score"), "path", "line").select("path", "version", "line", window(F.col("text"), terms[0]).alias("text"), "section", "score", F.greatest(F.col("all") - per_file, F.lit(0)).cast("bigint").alias("more"))
+    return top.orderBy(F.desc("score"), "path", "line").select("path", "version", "line", window(F.col("text"), terms[0]).alias("text"), "section", "score", "more")
 
 
 def document_frequency(files: DataFrame, words: list[str]) -> DataFrame:

@@ -149,27 +149,27 @@ def _hits(condition: str, folder: str = "") -> str:
 
 @_query(_hits("list_contains(words, 'missing')"))
 def search_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "missing", limit=None, per_file=1000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "missing", limit=None, per_file=None).select("path", "line")
 
 
 @_query(f"WITH {VAULT}, {LINES}, k AS (SELECT file_id, path, line, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM l), g AS (SELECT file_id FROM k GROUP BY 1 HAVING bool_or(list_contains(words, 'the')) AND bool_or(list_contains(words, 'license'))) SELECT path, line FROM k WHERE file_id IN (SELECT file_id FROM g) AND (list_contains(words, 'the') OR list_contains(words, 'license'))")
 def search_and2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "the AND license", limit=None, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "the AND license", limit=None, per_file=None).select("path", "line")
 
 
 @_query(_hits("' ' || array_to_string(words, ' ') || ' ' LIKE '% rights reserved %'"))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), '"rights reserved"', limit=None, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), '"rights reserved"', limit=None, per_file=None).select("path", "line")
 
 
 @_query(_hits("len(list_filter(words, lambda x: starts_with(x, 'licen'))) > 0"))
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "licen*", limit=None, per_file=10_000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "licen*", limit=None, per_file=None).select("path", "line")
 
 
 @_query(_hits("list_contains(words, 'missing')", "/src1/"))
 def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_files(spark, sf_dir), "missing", "/src1", limit=None, per_file=1000).select("path", "line")
+    return search.search(_files(spark, sf_dir), "missing", "/src1", limit=None, per_file=None).select("path", "line")
 
 
 @_query(f"""WITH {VAULT}, {COUNTED}, {WORDS}, f AS (SELECT path, len(words) AS n, len(list_filter(words, lambda x: x = 'the')) AS a, len(list_filter(words, lambda x: x = 'license')) AS b FROM w),
