@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,10 +26,13 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of this machine's where that isn't set (tests)."""
+    """The folder in spark.checkpoint.dir; in local mode (tests) one of this machine's where that isn't set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,10 +41,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, so that lost executors cost no more than a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; they'd stay until memory runs short."""
+    gc.collect()
+    # the gateway tells the JVM of dropped objects a second later; do so at once
+    dropped = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    while dropped and isinstance(dropped[-1], tuple):
+        try:
+            client, target = dropped.pop()
+        except IndexError:
+            break
+        client.garbage_collect_object(target, False)
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df, written as a table in the shared folder, so that lost executors cost no more than a read.
+
+    What was shuffled for it is dropped at once: pass a plan that no variable holds.
+    """
+    spark = df.sparkSession
+    path, schema = scratch(spark, name), df.schema
+    df.write.parquet(path)
+    del df
+    freed(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,21 +96,23 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Alternates large stars (each node links its larger neighbours to its smallest one) and small
     stars (each node links its smaller neighbours and itself to the smallest) until the edges no
     longer change; they then form one star per component. Minima are combined before the shuffle,
-    and a hub is only ever one side of a join whose other side has one row per key, which adaptive
-    execution can split. Self-links, repeats and nulls are ignored; an empty input gives no rows.
+    and a hub is only ever one side of a join whose other side has one row per key; the added tag gives
+    both sides a shuffle of their own, which adaptive execution can split. Self-links, repeats and nulls
+    are ignored; an empty input gives no rows.
     """
-    stars = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = checkpointed(stars)
+    tag = F.hash("u")
+    stars = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     seen = _digest(stars)
     if not seen[0]:
         return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), tag.alias("tag"))
+        large = both.where("v > u").withColumn("tag", tag).join(least, ["u", "tag"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.withColumn("tag", tag).join(least.withColumn("tag", tag), ["u", "tag"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, stars = stars, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        release(before)
         if (now := _digest(stars)) == seen:
             break
         seen = now

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, components, importable
+from quire.llm.common import components, importable, stored
 
 COSINE = 0.98
 #: Vectors of one filter that are compared at once.
@@ -119,7 +119,7 @@ def near_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     """
     importable(df.sparkSession)
     make, cos = code or code_for, float(cosine)
-    stored = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
 
     def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,16 +133,18 @@ def near_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
                     v = np.stack([np.asarray(x, dtype=np.float64) for x in own["v"]])
                     unit = _unit(v)
                     good = np.isfinite(v).all(axis=1) & np.isfinite(unit).all(axis=1)
-                    v, unit, own = v[good].astype(stored), unit[good], own[good]
+                    v, unit, own = v[good].astype(kind), unit[good], own[good]
                     if not len(own):
                         continue
-                    row, filt = codes.setdefault(size, make(size)).decode(unit)
+                    if size not in codes:
+                        codes[size] = make(size)
+                    row, filt = codes[size].decode(unit)
                     counts = np.bincount(row, minlength=len(own))
                     lists = np.split(filt, np.cumsum(counts)[:-1])
                     yield pd.DataFrame({"label": own["label"].to_numpy()[row], "size": size, "filter": filt, "vec_id": own["vec_id"].to_numpy()[row], "raw": [v[i].tobytes() for i in row.tolist()], "filters": [lists[i].astype("<i4").tobytes() for i in row.tolist()]})
 
     clean = rows.where("vec_id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
-    passed = checkpointed(clean.mapInPandas(filtered, "label string, size int, filter bigint, vec_id bigint, raw binary, filters binary"))
+    passed = stored(clean.mapInPandas(filtered, "label string, size int, filter bigint, vec_id bigint, raw binary, filters binary"))
     key = ["label", "size", "filter"]
     sizes = passed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     placed = passed.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("vec_id", "raw"), F.col("parts")).cast("int"))
@@ -162,7 +164,7 @@ def near_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         edges: list[tuple[int, int]] = []
         for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=True):
             i, j = int(group["i"].iat[first]), int(group["j"].iat[first])
-            unit = _unit(np.frombuffer(b"".join(raw[first:last]), dtype=stored).reshape(-1, lengths[first]).astype(np.float64))
+            unit = _unit(np.frombuffer(b"".join(raw[first:last]), dtype=kind).reshape(-1, lengths[first]).astype(np.float64))
             left, right = np.flatnonzero(own[first:last] == i), np.flatnonzero(own[first:last] == j)
             a, b = np.nonzero(unit[left] @ unit[right].T >= cos)
             a, b = left[a] + first, right[b] + first
@@ -178,7 +180,7 @@ def near_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         tree, linked = _forest(a, b, len(names)), np.flatnonzero(n)
         return pd.DataFrame({"u": np.concatenate((names[linked], names[a[tree]])), "v": np.concatenate((names[linked], names[b[tree]])), "n": np.concatenate((n[linked], np.zeros(len(tree), dtype=np.int64)))})
 
-    found = checkpointed(dealt.groupBy(tasks).applyInPandas(lambda group: compared(group), "u bigint, v bigint, n bigint"))
+    found = stored(dealt.groupBy(tasks).applyInPandas(lambda group: compared(group), "u bigint, v bigint, n bigint"))
     counts = found.where("u = v").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     roots = components(found.where("u <> v").select("u", "v"))
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")

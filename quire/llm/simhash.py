@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, components, importable
+from quire.llm.common import components, importable, release, stored
 
 SEED = 42
 MAX_BITS = 3
@@ -154,9 +154,9 @@ def components_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     component_id is the smallest doc_id that links reach, the row's own included; rows with equal fingerprints are linked.
     Rows without doc_id take part and get their component's smallest other doc_id (null if there is none).
     """
-    prints = checkpointed(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), drop_text=True))
+    prints = stored(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), drop_text=True), "prints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = checkpointed(components(links(prints)))
+    roots = components(links(prints))
     grouped = classes.join(roots, classes.fingerprint == roots.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = grouped.join(smallest, "root").select("fingerprint", "component_id")
@@ -179,6 +179,56 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by a power of two, n or more: 1 if an odd number has it.
+
+    Two sets' bits differ where their symmetric difference has an odd number, so not more often than it has members.
+    """
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    count = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Rows of 64-bit words: the parities for a remainder of size bytes, of those for size or twice as many."""
+    whole = [np.frombuffer(s, "<u8") for s in sketches]
+    return np.stack([w if len(s) == size else w[: size // 8] ^ w[size // 8 :] for w, s in zip(whole, sketches, strict=True)])
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """How many members two sets differ by, at least, told by their parities; 0 if their sizes are too far apart to tell."""
+    size = min(len(a), len(b))
+    if max(len(a), len(b)) > 2 * size:
+        return 0
+    x, y = _folded([a, b], size)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_be_alike(sketches: list[bytes], n: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which of some sets may be similar to one of another root on the other side, by their parities; none that is gets lost.
+
+    As least is over a half, sizes of similar sets differ by a factor below two and their parities' lengths by two at most.
+    """
+    found = np.zeros(len(n), dtype=bool)
+    share = (1 - least) / (1 + least)
+    length = np.array([*map(len, sketches)])
+    for size in np.unique(length).tolist():
+        near = np.flatnonzero((length == size) | (length == 2 * size))
+        place = np.full(len(n), -1)
+        place[near] = np.arange(len(near))
+        words = _folded([sketches[i] for i in near.tolist()], size)
+        for ours, theirs in ((left, right), (right, left)):
+            ours, theirs = ours[length[ours] == size], theirs[place[theirs] >= 0]
+            facing = words[place[theirs]]
+            for a in ours.tolist():
+                open_ = np.flatnonzero((root[theirs] != root[a]) & (np.minimum(n[theirs], n[a]) >= least * np.maximum(n[theirs], n[a]) - 1e-6))
+                apart = np.bitwise_count(facing[open_] ^ words[place[a]]).sum(axis=1, dtype=np.int64)
+                hit = theirs[open_[apart <= share * (n[theirs[open_]] + n[a]) + 1e-6]]
+                if len(hit):
+                    found[hit], found[a] = True, True
+    return found
+
+
 def prefix(hashes: np.ndarray, least: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rarest first, of which sets that are similar by least share one.
 
@@ -209,14 +259,33 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.uint64)[order], n[order]
 
 
+def _in_blocks(rows: DataFrame) -> tuple:
+    """Rows (key, id and others) with their block own of each key and the pairs of blocks (i, j) they go to, grouped to compare them; and a table to release then.
+
+    Copies share many keys; of keys with the same members one is compared, whatever the places of its shingle.
+    """
+    mixed = F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("id", F.lit(1)))
+    alike_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), mixed[0].alias("s"), mixed[1].alias("x")).where("m > 1").groupBy("m", "s", "x").agg(F.min("key").alias("key"))
+    parts = stored(alike_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), "m"), "parts")
+    work = parts.agg(F.sum(F.col("parts") * F.col("m"))).first()[0] or 0
+    tagged = [x.withColumn("tag", F.hash("key")) for x in (rows, parts.drop("m"))]
+    held = tagged[0].join(tagged[1], ["key", "tag"]).drop("tag").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = held.withColumn("p", F.explode(sides)).select(*rows.columns, "own", "p.i", "p.j")
+    return dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))), parts
+
+
 def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row with doc_id: texts link if their shingle sets are similar by least or more.
 
-    No such pair is lost: similar sets share a shingle of their prefixes (see prefix), and every candidate is verified on the
-    whole sets. Equal sets stand for one text. A first round links each text to the smallest of each of its keys; a second
-    compares, in blocks, what shares a key but no component yet. So a large group of copies costs a star for each key, and
-    what leaves a block are edges of a forest, never its pairs.
+    No such pair is lost: similar sets share a shingle of their prefixes (see prefix), and every candidate that their parities
+    (see parities) do not rule out is verified on the whole sets. Equal sets stand for one text. A first round links each text
+    to the smallest of each of its keys; a second compares, in blocks, what shares a key but no component yet. So a large group
+    of copies costs a star for each key, and what leaves a block are edges of a forest, never its pairs. Null texts and texts
+    without words are one class; a repeated doc_id stands for all its texts; an empty table gives no rows.
     """
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be over a half")
     importable(df.sparkSession)
     rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     frequent = df.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
@@ -225,7 +294,7 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             keys = [prefix(s, least, *frequent.value).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "whole": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": [*map(len, sets)], "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "whole": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": [*map(len, sets)], "parities": [*map(parities, sets)], "keys": keys})
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,24 +309,36 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         for batch in batches:
             sets = [shingle_set(t, shingle).tobytes() for t in batch["text"]]
             own = np.array([hashlib.blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, batch["whole"], strict=True)], dtype=bool)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[own], "set": [s for s, ok in zip(sets, own, strict=True) if ok]})
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[own], "whole": batch["whole"].to_numpy()[own], "set": [s for s, ok in zip(sets, own, strict=True) if ok]})
 
-    found = checkpointed(rows.mapInPandas(profiled, "doc_id bigint, whole binary, n int, keys binary"))
-    classes = checkpointed(found.groupBy("whole").agg(F.min(F.struct("doc_id", "n", "keys")).alias("m")).select("whole", F.col("m.doc_id").alias("id"), "m.n", "m.keys"))
+    found = stored(rows.mapInPandas(profiled, "doc_id bigint, whole binary, n int, parities binary, keys binary"), "found")
+    classes = stored(found.groupBy("whole").agg(F.min(F.struct("doc_id", "n", "parities", "keys")).alias("m")).select("whole", F.col("m.doc_id").alias("id"), "m.n", "m.parities", "m.keys"), "classes")
+    members = stored(found.select("doc_id", "whole"), "members")
+    release(found)
+    alone = stored(classes.select("id", "whole", "n", "parities"), "alone")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, set) of the classes of some ids."""
-        wanted = ids.distinct().join(classes.select("id", "whole"), "id")
-        texts = rows.join(wanted, F.col("doc_id") == F.col("id")).dropDuplicates(["id", "whole", "text"])
-        return checkpointed(texts.select("id", "whole", "text").mapInPandas(taken, "id bigint, set binary"))
+        wanted = ids.distinct().join(alone.select("id", "whole"), "id")
+        texts = rows.join(wanted, F.col("doc_id") == F.col("id")).select("id", "whole", "text")
+        return stored(texts.mapInPandas(taken, "id bigint, whole binary, set binary").dropDuplicates(["id", "whole"]).select("id", "set"), "sets")
 
     # rest: how many shingles a set has from its key on; before the first key that two share, they share none
     may = lambda n, rest, m, others: F.least(rest, others) >= least / (1 + least) * (n + m) - 1e-6
     keys = classes.select("id", "n", "keys").mapInPandas(keyed, "key bigint, id bigint, n int, rest int")
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", F.hash("key").alias("tag"), "h")
-    # the added keys make the joins shuffle afresh, so that a hot key or a row with many partners can be split
-    shared = checkpointed(keys.withColumn("tag", F.hash("key")).join(checkpointed(heads), ["key", "tag"]).select("key", "id", "n", "rest", "h"))
-    stars = checkpointed(shared.where((F.col("id") != F.col("h.id")) & may(F.col("n"), F.col("rest"), F.col("h.n"), F.col("h.rest"))).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct())
+    heads = stored(keys.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", F.hash("key").alias("tag"), "h"), "heads")
+    # the added keys give both sides of the joins a shuffle of their own, so that a hot key or a row with many partners can be split
+    shared = stored(keys.withColumn("tag", F.hash("key")).join(heads, ["key", "tag"]).select("key", "id", "n", "rest", "h"), "shared")
+    release(heads, classes)
+    stars = shared.where((F.col("id") != F.col("h.id")) & may(F.col("n"), F.col("rest"), F.col("h.n"), F.col("h.rest"))).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct()
+
+    @F.pandas_udf("boolean")
+    def close(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([distance(x, y) <= (1 - least) / (1 + least) * (i + j) + 1e-6 for i, x, j, y in zip(n, a, m, b, strict=True)], dtype=bool)
+
+    u, v = (alone.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
+    paired = stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
+    stars = stored(paired.where(close("nu", "pu", "nv", "pv")).select("u", "v").distinct(), "candidates")
     sets = sets_of(stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))))
 
     @F.pandas_udf("boolean")
@@ -266,22 +347,44 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     u, v = (sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
     both = stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
-    first = checkpointed(both.where(near("su", "sv")).select("u", "v"))
-    roots = checkpointed(components(first))
-    placed = checkpointed(shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "rest", F.coalesce("root", "id").alias("root"))).withColumn("tag", F.hash("key"))
-    # only rows that have a candidate in another component go on, each once, however many it has
-    other = placed.select(F.col("key").alias("k"), F.col("n").alias("kn"), F.col("rest").alias("krest"), F.col("root").alias("kroot"))
-    active = placed.join(other.hint("merge"), (F.col("key") == F.col("k")) & (F.col("root") != F.col("kroot")) & may(F.col("n"), F.col("rest"), F.col("kn"), F.col("krest")), "left_semi")
-    active = checkpointed(active)
-    # copies share many keys; of keys with the same active members one is compared, whatever the places of its shingle
-    mixed = F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("id", F.lit(1)))
-    alike_keys = active.groupBy("key").agg(F.count(F.lit(1)).alias("m"), mixed[0].alias("s"), mixed[1].alias("x")).groupBy("m", "s", "x").agg(F.min("key").alias("key"))
-    parts = alike_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")).withColumn("tag", F.hash("key"))
-    unsettled = checkpointed(active.join(parts, ["key", "tag"]).drop("tag"))
+    first = stored(both.where(near("su", "sv")).select("u", "v"), "links")
+    release(sets, stars)
+    roots = components(first)
+    placed = stored(shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "rest", F.coalesce("root", "id").alias("root")), "placed")
+    release(shared)
+    # A key whose holders are one component is settled. Of other keys only holders go on that may have a partner in another
+    # component. That depends on the partner's size and place alone, so a key's holders of one size are told by the one whose
+    # key comes first and the first one of any other component.
+    by_key = lambda df: df.withColumn("tag", F.hash("key"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    contested = stored(by_key(placed).join(by_key(several), ["key", "tag"]).select("key", "id", "n", "rest", "root"), "contested")
+    release(placed)
+    earliest = contested.groupBy("key", F.col("n").alias("m"), "root").agg(F.max("rest").alias("most"))
+    best = earliest.groupBy("key", "m").agg(F.max(F.struct("most", "root")).alias("x"))
+    other = earliest.withColumn("tag", F.hash("key", "m")).join(best.withColumn("tag", F.hash("key", "m")), ["key", "m", "tag"]).where(F.col("root") != F.col("x.root"))
+    other = other.groupBy("key", "m").agg(F.max(F.struct("most", "root")).alias("x"))
+    partners = by_key(best.unionByName(other)).select(F.col("key").alias("k"), F.col("tag").alias("t"), "m", F.col("x.most").alias("most"), F.col("x.root").alias("kroot"))
+    met = (F.col("key") == F.col("k")) & (F.col("tag") == F.col("t")) & (F.col("root") != F.col("kroot")) & may(F.col("n"), F.col("rest"), F.col("m"), F.col("most"))
+    active = stored(by_key(contested).join(partners, met, "left_semi"), "active")
+    release(contested)
+    sketched = stored(active.select("key", "id", "n", "root", F.hash("id").alias("tid")).join(alone.select("id", "parities", F.hash("id").alias("tid")), ["id", "tid"]).drop("tid"), "sketched")
+    release(active)
+    spread, parts = _in_blocks(sketched)
+
+    def likely(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of some pairs of blocks that may have a similar one of another component."""
+        found = np.zeros(len(group), dtype=bool)
+        n, root, own, parities_ = (group[c].to_numpy() for c in ("n", "root", "own", "parities"))
+        for (_, i, j), rows in group.groupby(["key", "i", "j"]).indices.items():
+            left, right = (np.flatnonzero(own[rows] == k) for k in (i, j))
+            found[rows] |= may_be_alike([parities_[r] for r in rows], n[rows], root[rows], left, right, least)
+        return group.loc[found, ["key", "id", "n", "root"]]
+
+    unsettled = stored(spread.applyInPandas(lambda group: likely(group), "key bigint, id bigint, n int, root bigint").distinct(), "unsettled")
+    release(sketched, parts)
     open_sets = sets_of(unsettled.select("id"))
-    held = unsettled.withColumn("tid", F.hash("id")).join(open_sets.withColumn("tid", F.hash("id")), ["id", "tid"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = held.select("key", "id", "n", "root", "set", "own", F.explode(sides).alias("p")).select("key", "p.i", "p.j", "id", "n", "root", "set", "own")
+    held = stored(unsettled.withColumn("tid", F.hash("id")).join(open_sets.withColumn("tid", F.hash("id")), ["id", "tid"]).drop("tid"), "held")
+    release(unsettled, open_sets)
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         """Edges that join what is similar in some pairs of blocks, one less than their members at most for each."""
@@ -322,11 +425,12 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
                         edges.append((int(ids[a]), int(ids[b])))
         return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
-    work = unsettled.agg(F.sum("parts")).first()[0] or 0
-    second = checkpointed(dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))).applyInPandas(lambda group: compared(group), "u bigint, v bigint"))
-    final = checkpointed(components(first.unionByName(second)))
-    grouped = classes.select("whole", "id").join(final, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("component_id"), F.hash("whole").alias("tag"))
-    return found.select("doc_id", "whole", F.hash("whole").alias("tag")).join(grouped, ["whole", "tag"]).select("doc_id", "component_id")
+    spread, parts = _in_blocks(held)
+    second = stored(spread.applyInPandas(lambda group: compared(group), "u bigint, v bigint"), "links")
+    release(held, parts)
+    final = components(first.unionByName(second))
+    grouped = alone.join(final, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("component_id"), F.hash("whole").alias("tag"))
+    return members.select("doc_id", "whole", F.hash("whole").alias("tag")).join(grouped, ["whole", "tag"]).select("doc_id", "component_id")
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:

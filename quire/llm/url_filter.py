@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, components
+from quire.llm.common import components, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query: (host, path, verdict).
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES, links: DataFrame | None = None, url: st
     judged = judged.withColumns({"rule": rule_of(rules, F.col("host"), F.col("path")), "__own": verdict_of(rules, F.col("host"), F.col("path"))})
     if links is None:
         return judged.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("__own", F.lit("allow")).alias("verdict"))
-    ends = checkpointed(links.select(key_of(F.col("source")).alias("u"), key_of(F.col("target")).alias("v")))
+    ends = stored(links.select(key_of(F.col("source")).alias("u"), key_of(F.col("target")).alias("v")))
     roots = components(ends.where("u rlike '^[^/?]' and v rlike '^[^/?]'"))
     # a key holds host and path, so a node's own verdict needs no join
     blocked = verdict_of(rules, F.regexp_extract("node", r"^([^/?#]*)", 1), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)) == "block"

@@ -481,3 +481,26 @@ def test_vectors(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (5000, 5001, 5002, 5003, 5004, 5005, 5006))
     assert got[5007]["n_links"] == got[5008]["n_links"] == 1 and got[5008]["component_id"] == 5007 and not got[5008]["kept"]
     assert embedding_dedup.near_links(df.limit(0)).count() == 0
+
+
+def test_parities_lose_no_similar_set():
+    """The parities rule out no pair that brute force finds, and of larger sets nearly all that have little in common."""
+    draw = np.random.default_rng(14)
+    sets = []
+    for n in (0, 1, 5, 60, 64, 65, 130, 700):
+        base = draw.integers(0, 1 << 64, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[: int(n * keep)], draw.integers(0, 1 << 64, int(n * new), dtype=np.uint64)))) for keep, new in ((1, 0), (0.95, 0.05), (0.9, 0.1), (1, 0.24), (0.6, 0.2), (0.3, 0.9))]
+    sketches, size, root, side = [simhash.parities(s) for s in sets], np.array([*map(len, sets)]), np.array([0, 1]), np.arange(2)
+    similar = unlike = passed = 0
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            got = bool(simhash.may_be_alike([sketches[a], sketches[b]], size[[a, b]], root, side[:1], side[1:], 0.8)[0])
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert simhash.distance(sketches[a], sketches[b]) <= size[a] + size[b] - 2 * both
+            if size[a] and simhash.alike(sets[a], sets[b], 0.8):
+                similar += 1
+                assert got
+            if min(size[a], size[b]) >= 50 and not simhash.alike(sets[a], sets[b], 0.4):
+                unlike += 1
+                passed += got
+    assert similar > len(sets) and unlike > 100 and passed <= 0.02 * unlike
