@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, importable
+from quire.llm.common import importable, stored
 
 WINDOW = 35
 SEED_WORDS = 10
@@ -98,11 +98,11 @@ class Flat:
         return np.maximum(begin, at - self.reach), np.minimum(begin + self.sizes[self.of[at]], at + self.window)
 
     def seeds(self) -> tuple[np.ndarray, ...]:
-        """Place, anchor hash, context hash, context's start and end of every anchor."""
+        """Place, anchor hash and context hash of every anchor."""
         at = self.anchors()
         a, b = self.contexts(at)
         context = _mixed(self.hashes(1, a, b) + np.uint64(0x9E3779B97F4A7C15) * ((at - a) * 4096 + b - at).astype(np.uint64))
-        return at, self.hashes(0, at, at + self.seed_words).view(np.int64), context.view(np.int64), a, b
+        return at, self.hashes(0, at, at + self.seed_words).view(np.int64), context.view(np.int64)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -124,17 +124,17 @@ def _flats(texts: list, window: int, seed_words: int) -> Iterator[tuple[int, Fla
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The repeated stretches of docs (rid bigint, th bigint, text; the first two never null).
+    """The repeated stretches of docs (rid bigint, th bigint, text and any others; the first two never null).
 
-    One row per document (rid, th) that has any: spans, an array of (start, stop) in words. Documents with equal
-    rid and th are equal; each counts.
+    One row per document (rid, th) that has any: contexts, an array of anchors' places whose whole contexts are repeated, and
+    starts, an array of places where a repeated window starts. Documents with equal rid and th are equal; each counts.
     """
     importable(docs.sparkSession)
     reach = window - seed_words
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [flat.seeds()[1:3] for _, flat in _flats(batch["text"].tolist(), window, seed_words)]
+            found = [flat.seeds()[1:] for _, flat in _flats(batch["text"].tolist(), window, seed_words)]
             anchor, context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
             order = np.argsort(anchor, kind="stable")
             anchor, context = anchor[order], context[order]
@@ -146,26 +146,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
         for batch in batches:
             rid, th = batch["rid"].to_numpy(), batch["th"].to_numpy()
             for begin, flat in _flats(batch["text"].tolist(), window, seed_words):
-                at, anchor, context, a, b = flat.seeds()
-                doc, start = flat.of[at], flat.first[flat.of[at]]
-                yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "at": at - start, "anchor": anchor, "context": context, "a": a - start, "b": b - start})
+                at, anchor, context = flat.seeds()
+                doc = flat.of[at]
+                yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "at": at - flat.first[doc], "anchor": anchor, "context": context})
 
     counts = docs.select("text").mapInPandas(counted, "anchor bigint, n bigint, low bigint, high bigint")
     # The joins' added keys are functions of the others. They give both sides a plain shuffle of their own, which adaptive
     # execution can split where an anchor or a class is hot; an aggregate's shuffle it can't.
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several"), F.hash("anchor").alias("tag"))
     # an occurrence is one array, so that the three branches below read the same columns and share one shuffle
-    names = ("rid", "th", "at", "a", "b", "context")
-    found_at = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint, a int, b int")
-    seeds = found_at.select("anchor", F.hash("anchor").alias("tag"), F.array(*[F.col(c).cast("bigint") for c in names]).alias("o")).where("o[5] is not null").join(shared, ["anchor", "tag"])
-    unpacked = [F.col("o")[i].cast("int" if c in ("at", "a", "b") else "bigint").alias(c) for i, c in enumerate(names)]
+    names = ("rid", "th", "at", "context")
+    found_at = docs.select("rid", "th", "text").mapInPandas(seeded, "rid bigint, th bigint, at int, anchor bigint, context bigint")
+    seeds = found_at.select("anchor", F.hash("anchor").alias("tag"), F.array(*[F.col(c).cast("bigint") for c in names]).alias("o")).where("o[3] is not null").join(shared, ["anchor", "tag"])
+    unpacked = [F.col("o")[i].cast("int" if c == "at" else "bigint").alias(c) for i, c in enumerate(names)]
     several = seeds.where("several").select("anchor", *unpacked)
     classes = several.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "th", "at")).alias("member"))
     kind = F.when(F.col("n") == 1, 1).when(F.col("member") == F.struct("rid", "th", "at"), 2).otherwise(0)
     both = ["anchor", "context", "tag"]
-    classed = several.withColumn("tag", F.hash("anchor", "context")).join(classes.withColumn("tag", F.hash("anchor", "context")), both).select("rid", "th", F.struct("at", "a", "b", kind.alias("kind")).alias("s"))
-    alike = seeds.where("not several").select(*unpacked[:5]).select("rid", "th", F.struct("at", "a", "b", F.lit(0).alias("kind")).alias("s"))
-    found = checkpointed(classed.unionByName(alike).groupBy("rid", "th").agg(F.collect_set("s").alias("seeds")))
+    classed = several.withColumn("tag", F.hash("anchor", "context")).join(classes.withColumn("tag", F.hash("anchor", "context")), both).select("rid", "th", F.struct("at", kind.alias("kind")).alias("s"))
+    alike = seeds.where("not several").select(*unpacked[:3]).select("rid", "th", F.struct("at", F.lit(0).alias("kind")).alias("s"))
+    found = stored(classed.unionByName(alike).groupBy("rid", "th").agg(F.collect_set("s").alias("seeds")), "seeds")
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,14 +183,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
                 yield pd.DataFrame({"rid": rid[begin + doc], "th": th[begin + doc], "start": start - flat.first[doc], "candidate": candidate[start], "k0": key[0], "k1": key[1]})
 
     open_ = found.select("rid", "th", F.filter("seeds", lambda s: s["kind"] > 0).alias("s")).where("size(s) > 0").select("rid", "th", F.col("s.at").alias("places"), F.col("s.kind").alias("kinds"))
-    windows = docs.select("rid", "th", "text").join(open_, ["rid", "th"]).mapInPandas(extended, "rid bigint, th bigint, start int, candidate boolean, k0 bigint, k1 bigint")
+    # all columns of docs go through, so that this join and the one that cuts the texts share one shuffle of them
+    windows = docs.join(open_, ["rid", "th"]).mapInPandas(extended, "rid bigint, th bigint, start int, candidate boolean, k0 bigint, k1 bigint")
     again = windows.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = again.withColumn("tag", F.hash("k0", "k1"))
     extra = windows.where("candidate").withColumn("tag", F.hash("k0", "k1")).join(again, ["k0", "k1", "tag"]).groupBy("rid", "th").agg(F.collect_set("start").alias("starts"))
-    whole = found.select("rid", "th", F.transform(F.filter("seeds", lambda s: s["kind"] != 1), lambda s: F.struct(s["a"].alias("start"), s["b"].alias("stop"))).alias("spans"))
-    extra = extra.select("rid", "th", F.transform("starts", lambda s: F.struct(s.alias("start"), (s + window).cast("int").alias("stop"))).alias("more"))
-    spans = F.concat(F.coalesce("spans", F.expr("array()")), F.coalesce("more", F.expr("array()")))
-    return whole.join(extra, ["rid", "th"], "full").select("rid", "th", spans.alias("spans")).where("size(spans) > 0")
+    whole = found.select("rid", "th", F.transform(F.filter("seeds", lambda s: s["kind"] != 1), lambda s: s["at"]).alias("contexts"))
+    return whole.join(extra, ["rid", "th"], "full")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, seed_words: int = SEED_WORDS, digest: bool = False) -> DataFrame:
@@ -203,22 +202,23 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     Rows whose doc_id is null are told apart by their texts.
     """
     importable(df.sparkSession)
-    if not 0 < seed_words <= window:
-        raise ValueError("seed_words must be from 1 to window")
+    if not 0 < seed_words <= window < 4096:
+        raise ValueError("seed_words must be from 1 to window, and window below 4096")
     rest = [c for c in df.columns if c not in (text, "n_words", "n_removed", "kept_sha256")]
     keyed = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("rid"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("th"), F.col(text).alias("text"), F.struct(*rest).alias("rest"))
-    spans = repeats(keyed, window, seed_words).select("rid", "th", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    spans = repeats(keyed, window, seed_words)
+    reach = window - seed_words
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, sizes, gone = [], [], []
-            for content, starts, stops in zip(batch["text"].tolist(), batch["starts"].tolist(), batch["stops"].tolist(), strict=True):
+            for content, contexts, starts in zip(batch["text"].tolist(), batch["contexts"].tolist(), batch["starts"].tolist(), strict=True):
                 words = _words(content)
-                kept = words
-                if starts is not None:
-                    marks = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(marks, np.asarray(starts), 1)
-                    np.add.at(marks, np.asarray(stops), -1)
+                kept, n = words, len(words)
+                if contexts is not None or starts is not None:
+                    at, start = (np.asarray(x if x is not None else (), dtype=np.int64) for x in (contexts, starts))
+                    begin, end = np.concatenate((np.maximum(at - reach, 0), start)), np.concatenate((np.minimum(at + window, n), start + window))
+                    marks = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
                 sizes.append(len(words))
                 gone.append(len(words) - len(kept))
@@ -229,6 +229,6 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             yield pd.DataFrame({"rest": batch["rest"], "n_words": sizes, "n_removed": gone, "out": out})
 
     kind = df.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString()
-    done = keyed.join(spans, ["rid", "th"], "left").select("text", "starts", "stops", "rest").mapInPandas(cut, f"rest {kind}, n_words bigint, n_removed bigint, out string")
+    done = keyed.join(spans, ["rid", "th"], "left").select("text", "contexts", "starts", "rest").mapInPandas(cut, f"rest {kind}, n_words bigint, n_removed bigint, out string")
     name = "kept_sha256" if digest else text
     return done.select(*[F.col(f"rest.`{c}`") for c in rest], F.col("out").alias(name), "n_words", "n_removed")
