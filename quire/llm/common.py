@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,10 @@ def freed(spark: SparkSession) -> None:
         except IndexError:
             break
         client.garbage_collect_object(target, False)
+    # each listener's thread holds on to the last event, which holds the plan that ended, until another comes
+    spark.range(1).count()
+    with contextlib.suppress(Py4JJavaError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(2000)
     spark.sparkContext._jvm.System.gc()
 
 
