@@ -72,5 +72,10 @@ def fold_text(text: str) -> str:
     return "".join(c.lower()[:1] for c in text).translate(str.maketrans(source, target))
 
 
+def spaced_words(text: Column) -> Column:
+    """The search words of a text, each between single spaces, as one text: ' a b '; a single space where there is none."""
+    return F.replace(F.concat(F.lit(" "), F.regexp_replace(fold(text), r"[^\p{IsAlphabetic}\p{N}]+", " "), F.lit(" ")), F.lit("  "), F.lit(" "))
+
+
 def search_words(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")

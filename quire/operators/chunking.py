@@ -15,7 +15,7 @@ from quire.workers import importable
 # Fixed values, as chunk bounds must be the same everywhere: sizes in bytes, bits of the two masks, seed of the gear table.
 SMALLEST, USUAL, LARGEST, SNAP = 512, 1024, 4096, 256
 EARLY_BITS, LATE_BITS = 10, 8
-SEED = 0x7465787464622D67
+SEED = 0x0123456789ABCDEF
 
 
 def _gear() -> np.ndarray:

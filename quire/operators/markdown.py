@@ -33,50 +33,27 @@ def split_front_matter(text: str) -> tuple[str | None, int]:
 # --- front matter -------------------------------------------------------------------------------
 
 
-def _uncommented(v: str) -> str:
-    quote = None
-    i = 0
-    while i < len(v):
-        c = v[i]
-        if quote:
-            if quote == '"' and c == "\\":
-                i += 1
-            elif c == quote:
-                quote = None
-        elif c in "\"'" and (i == 0 or v[i - 1] in " \t[,"):
-            quote = c
-        elif c == "#" and i and v[i - 1] in " \t":
-            return v[:i].rstrip()
-        i += 1
-    return v.rstrip()
-
-
-def _flow(inner: str) -> list[str]:
-    out, depth, quote, held = [], 0, None, ""
-    i = 0
-    while i < len(inner):
-        c = inner[i]
-        if quote:
-            if quote == '"' and c == "\\" and i + 1 < len(inner):
-                held += c
-                i += 1
-                c = inner[i]
-            elif c == quote:
-                quote = None
-        elif c in "\"'" and not held.strip():
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        elif c == "," and not depth:
-            out.append(held)
-            held = ""
-            i += 1
-            continue
-        held += c
-        i += 1
-    return [x.strip() for x in [*out, held] if x.strip()]
+# A quoted text opens at a scalar's start only; a doubled quote or an escape doesn't end it, and one never closed runs on.
+_QUOTED = r"""(?:^|(?<=[\s\[{,:]))(?:"(?:[^"\\]|\\.)*(?:"|$)|'(?:[^']|'')*(?:'|$))"""
+_NOTE = re.compile(_QUOTED + r"|(?P<note>(?<=[ \t])#.*)", re.DOTALL)
+_MARK = re.compile(_QUOTED + r"|(?P<mark>[\[\]{},])", re.DOTALL)
+
+
+def _uncommented(value: str) -> str:
+    """A value without its comment."""
+    notes = (m.start("note") for m in _NOTE.finditer(value) if m["note"])
+    return value[: next(notes, len(value))].rstrip()
+
+
+def _members(body: str) -> list[str]:
+    """The parts of a flow list's body that commas of its own part; empty ones are none."""
+    level, begin, found = 0, 0, []
+    for m in _MARK.finditer(body):
+        level += {"[": 1, "{": 1, "]": -1, "}": -1}.get(m["mark"], 0)
+        if m["mark"] == "," and level == 0:
+            found.append(body[begin : m.start()].strip())
+            begin = m.end()
+    return [x for x in (*found, body[begin:].strip()) if x]
 
 
 def _scalar(v: str):
@@ -89,7 +66,7 @@ def _scalar(v: str):
     if len(v) > 1 and v[0] == v[-1] == "'":
         return v[1:-1].replace("''", "'")
     if v.startswith("[") and v.endswith("]"):
-        return [_scalar(x) for x in _flow(v[1:-1])]
+        return [_scalar(x) for x in _members(v[1:-1])]
     if v in ("", "~", "null"):
         return None
     if v in ("true", "false"):
@@ -147,26 +124,16 @@ def parse_yaml(block: str):
 def flatten(value) -> list[tuple[str, str | None, float | None, int]]:
     """(key, text, number, ord) of every scalar of a front matter: dotted keys, a row per list element."""
     out: list = []
-
-    def walk(key: str, v, place: int) -> None:
-        if isinstance(v, list):
-            for i, x in enumerate(v):
-                walk(key, x, i)
-        elif isinstance(v, dict):
-            for k, x in v.items():
-                walk(f"{key}.{k}", x, place)
-        elif v is None:
-            out.append((key, None, None, place))
-        elif isinstance(v, bool):
-            out.append((key, str(v).lower(), None, place))
-        elif isinstance(v, (int, float)):
-            out.append((key, json.dumps(v), float(v), place))
+    left = [((), value, 0)] if isinstance(value, dict) else []
+    while left:
+        keys, v, place = left.pop()
+        if isinstance(v, dict):
+            left += [((*keys, str(k)), x, place) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            left += [(keys, v[i], i) for i in reversed(range(len(v)))]
         else:
-            out.append((key, str(v), None, place))
-
-    if isinstance(value, dict):
-        for k, v in value.items():
-            walk(str(k), v, 0)
+            number = float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+            out.append((".".join(keys), v if v is None or isinstance(v, str) else json.dumps(v), number, place))
     return out
 
 

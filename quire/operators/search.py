@@ -1,12 +1,13 @@
 """Full-text search over lines, ranked by BM25, and grep.
 
-Terms are parsed on the driver. One pass explodes documents to lines and words to per-line hits; everything about a document
-is aggregated by file. Document frequency and corpus size are one-row aggregates that are broadcast. A document counts
-only if each term stands on some line of it.
+Terms are parsed on the driver. One pass over the texts counts each term in each document and keeps the counts; document frequency,
+corpus size and the best score are one-row aggregates of those, which are broadcast. A document counts only if each term stands
+on some line of it; lines are split for the documents that match only.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import paths, text
+from quire.workers import checkpointed
 
 K1, B = 1.2, 0.75
 LIMIT, PER_FILE = 200, 10
@@ -44,19 +46,19 @@ def parse(query: str) -> list[Term]:
     return found
 
 
-def occurrences(words: Column, term: Term) -> Column:
-    """How often a term stands in an array of search words; phrases may overlap."""
-    if len(term.words) == 1:
-        w = term.words[0]
-        return F.size(F.filter(words, (lambda x: F.startswith(x, F.lit(w))) if term.prefix else (lambda x: x == w)))
-    n = len(term.words)
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    hit = lambda i: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.element_at(words, (i + j).cast("int")) == F.element_at(F.array(*map(F.lit, term.words)), (j + 1).cast("int")))
-    return F.when(F.size(words) < n, 0).otherwise(F.size(F.filter(starts, hit)))
+def _pattern(term: Term) -> str:
+    """Matches a term's first word in spaced words and looks at the others, so that phrases may overlap."""
+    first, *others = (re.escape(w) for w in term.words)
+    return f" {first}" if term.prefix else f" {first}(?= {''.join(f'{w} ' for w in others)})"
 
 
-def _holds(term: Term):
-    return lambda line: occurrences(text.search_words(line), term) > 0
+def occurrences(spaced: Column, term: Term) -> Column:
+    """How often a term stands in spaced search words."""
+    return F.regexp_count(spaced, F.lit(_pattern(term)))
+
+
+def holds(spaced: Column, term: Term) -> Column:
+    return F.contains(spaced, F.lit(" " + " ".join(term.words) + " " * (not term.prefix)))
 
 
 def window(line: Column, term: Term) -> Column:
@@ -69,43 +71,42 @@ def window(line: Column, term: Term) -> Column:
 def line_hits(files: DataFrame, terms: list[Term]) -> DataFrame:
     """(file_id, path, version, line, text, t0..): lines that hold any term and which they hold."""
     each = files.select("file_id", "path", "version", F.posexplode(text.lines(F.col("content"))).alias("i", "text"))
-    held = each.withColumn("words", text.search_words(F.col("text")))
-    tests = {f"t{k}": occurrences(F.col("words"), t) > 0 for k, t in enumerate(terms)}
-    any_ = None
-    for k in tests:
-        any_ = F.col(k) if any_ is None else any_ | F.col(k)
-    return held.withColumns(tests).where(any_).select("file_id", "path", "version", (F.col("i") + 1).cast("bigint").alias("line"), "text", *tests)
+    tests = [holds(text.spaced_words(F.col("text")), t).alias(f"t{k}") for k, t in enumerate(terms)]
+    any_ = functools.reduce(Column.__or__, [F.col(f"t{k}") for k in range(len(terms))])
+    return each.select("file_id", "path", "version", (F.col("i") + 1).cast("bigint").alias("line"), "text", *tests).where(any_)
 
 
 def ranked(files: DataFrame, query: str, folder: str = "/") -> DataFrame:
-    """(file_id, path, version, score) of the documents that hold every term; the best scores 1."""
+    """(file_id, path, version, score) of the documents that hold every term; the best scores 1.
+
+    Texts are read once: what is known of each document, a few numbers, is kept and all sums are taken from that.
+    """
     terms = parse(query)
     scope = files.where(paths.under(F.col("path"), folder))
     if not terms:
         return scope.select("file_id", "path", "version", F.lit(0.0).alias("score")).limit(0)
-    words = scope.select("file_id", "path", "version", "content", text.search_words(F.col("content")).alias("words"))
-    counted = words.select("file_id", "path", "version", "content", F.size("words").alias("len"), *[occurrences(F.col("words"), t).alias(f"f{k}") for k, t in enumerate(terms)])
-    corpus = scope.agg(F.count(F.lit(1)).alias("ndocs"), F.sum(text.nwords(F.col("content"))).alias("total"))
-    some = counted.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    every = counted
-    for k in range(len(terms)):
-        every = every.where(F.col(f"f{k}") > 0)
-    per_line = text.lines(F.col("content"))
-    for t in terms:
-        if len(t.words) > 1:  # a phrase counts within a line
-            every = every.where(F.exists(per_line, _holds(t)))
-    joined = every.join(F.broadcast(corpus)).join(F.broadcast(some))
+    spaced, counts = text.spaced_words(F.col("content")), [f"f{k}" for k in range(len(terms))]
+    whole = {f"l{k}": F.exists(text.lines(F.col("content")), functools.partial(_line_holds, t)) for k, t in enumerate(terms) if len(t.words) > 1}  # a phrase counts within a line
+    found = [occurrences(spaced, t).alias(c) for c, t in zip(counts, terms, strict=True)]
+    length = F.greatest(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1, F.lit(0))
+    counted = checkpointed(scope.select("file_id", "path", "version", text.nwords(F.col("content")).alias("nwords"), length.alias("len"), *found, *[v.alias(k) for k, v in whole.items()]))
+    corpus = counted.agg(F.count(F.lit(1)).alias("ndocs"), F.sum("nwords").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in counts])
+    every = counted.where(functools.reduce(Column.__and__, [F.col(c) > 0 for c in counts] + [F.col(k) for k in whole]))
     mean = F.greatest(F.col("total") / F.col("ndocs"), F.lit(1.0))
     score = F.lit(0.0)
-    for k in range(len(terms)):
-        df, tf = F.col(f"df{k}"), F.col(f"f{k}")
+    for c in counts:
+        df, tf = F.col(f"d{c}"), F.col(c)
         idf = F.log(1 + (F.greatest("ndocs", df) - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))
-    scored = joined.select("file_id", "path", "version", score.alias("raw"))
+    scored = every.join(F.broadcast(corpus)).select("file_id", "path", "version", score.alias("raw"))
     best = scored.agg(F.max("raw").alias("best"))
     return scored.join(F.broadcast(best)).select("file_id", "path", "version", F.when(F.col("best") > 0, F.least(F.greatest(F.col("raw") / F.col("best"), F.lit(0.0)), F.lit(1.0))).otherwise(F.col("raw")).alias("score"))
 
 
+def _line_holds(term: Term, line: Column) -> Column:
+    return holds(text.spaced_words(line), term)
+
+
 def search(files: DataFrame, query: str, folder: str = "/", limit: int | None = LIMIT, per_file: int | None = PER_FILE, sections: DataFrame | None = None) -> DataFrame:
     """Hit rows (path, version, line, text, section, score, more), best documents first, lines in order.
 
@@ -115,7 +116,8 @@ def search(files: DataFrame, query: str, folder: str = "/", limit: int | None =
     docs = ranked(files, query, folder)
     if not terms:
         return docs.select("path", "version", F.lit(0).cast("bigint").alias("line"), F.lit("").alias("text"), F.lit(None).cast("string").alias("section"), "score", F.lit(0).cast("bigint").alias("more"))
-    hits = line_hits(files.where(paths.under(F.col("path"), folder)), terms).join(docs.select("file_id", "score"), "file_id")
+    matching = files.where(paths.under(F.col("path"), folder)).join(docs.select("file_id"), "file_id", "left_semi")
+    hits = line_hits(matching, terms).join(docs.select("file_id", "score"), "file_id")
     if per_file is None:
         hits = hits.withColumn("more", F.lit(0).cast("bigint"))
     else:

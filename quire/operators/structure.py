@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,7 @@ NOT_TEXT = (
     "pdf", "png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "heic", "tif", "tiff", "ico", "xlsx", "xls", "docx", "doc", "pptx", "ppt",
     "odt", "ods", "csv", "tsv", "zip", "mp4", "mov", "mp3", "wav", "m4a", "canvas", "base", "json", "html", "htm", "drawio", "excalidraw",
 )
+# Fixed value: the ending of files that point to a binary asset.
 POINTER = ".tdbasset"
 
 
@@ -125,90 +127,81 @@ class QueryError(ValueError):
         self.at = at
 
 
+_LEXEME = re.compile(r'(?P<open>\()|(?P<close>\))|(?P<minus>-)(?=\S)|(?P<word>(?:"[^"]*"|[^\s()"])+)|(?P<stray>")')
+#: how tightly a connective binds
+_BINDS = {"or": 1, "and": 2, "not": 3}
+
+
+def _lexemes(query: str) -> list[tuple[str, str, int]]:
+    """(kind, text, place in bytes) of each part of a query; kinds are word, or, and, not, open and close."""
+    found = []
+    for m in _LEXEME.finditer(query):
+        kind, word, at = m.lastgroup, m[0], len(query[: m.start()].encode())
+        if kind == "stray" or kind == "word" and query[m.end() : m.end() + 1] == '"':
+            raise QueryError("this quotation mark has no partner", len(query[: m.end() - (kind == "stray")].encode()))
+        if kind == "minus" or word in ("NOT", "AND", "OR"):
+            kind = "not" if kind == "minus" else word.lower()
+        found.append((kind, word, at))
+    return found
+
+
 def parse_query(query: str):
     """A tree of ("or"|"and", parts), ("not", part), ("term", key, op, value) and ("all",).
 
     OR binds least, then AND, which may be left out, then NOT or a leading minus; parentheses group. A quoted value is literal.
+    Operands and connectives wait on two stacks until a connective comes that binds no tighter.
     """
-    tokens, at = [], 0
-    while at < len(query):
-        c = query[at]
-        if c.isspace():
-            at += 1
-        elif c in "()":
-            tokens.append((c, c, False, at))
-            at += 1
-        elif c == "-" and at + 1 < len(query) and not query[at + 1].isspace():
-            tokens.append(("not", c, False, at))
-            at += 1
+    values: list = []
+    waiting: list[tuple[str, int]] = []
+
+    def settle(least: int) -> None:
+        while waiting and waiting[-1][0] != "open" and _BINDS[waiting[-1][0]] >= least:
+            kind, _ = waiting.pop()
+            right = values.pop()
+            if kind == "not":
+                values.append(("not", right))
+            else:
+                left = values.pop()
+                values.append((kind, [*left[1], right] if left[0] == kind else [left, right]))
+
+    complete = False  # whether an operand ends right here
+    for kind, word, at in _lexemes(query):
+        if kind in ("word", "not", "open") and complete:
+            settle(_BINDS["and"])
+            waiting.append(("and", at))
+        if kind == "word":
+            values.append(_term(word.replace('"', ""), '"' in word, at))
+        elif kind in ("not", "open"):
+            waiting.append((kind, at))
+        elif not complete:
+            raise QueryError(f"{word} stands where a filter should be", at)
+        elif kind == "close":
+            settle(0)
+            if not waiting:
+                raise QueryError("this bracket closes nothing", at)
+            waiting.pop()
         else:
-            begin, word, quoted = at, "", False
-            while at < len(query) and not query[at].isspace() and query[at] not in "()":
-                if query[at] == '"':
-                    end = query.find('"', at + 1)
-                    if end < 0:
-                        raise QueryError("unclosed quote", len(query[:at].encode()))
-                    word, quoted, at = word + query[at + 1 : end], True, end + 1
-                else:
-                    word, at = word + query[at], at + 1
-            kind = word.lower() if not quoted and word.upper() in ("AND", "OR", "NOT") and word.isupper() else "word"
-            tokens.append((kind, word, quoted, begin))
-    place = 0
-
-    def peek() -> str:
-        return tokens[place][0] if place < len(tokens) else ""
-
-    def either():
-        nonlocal place
-        parts = [both()]
-        while peek() == "or":
-            place += 1
-            parts.append(both())
-        return parts[0] if len(parts) == 1 else ("or", parts)
-
-    def both():
-        nonlocal place
-        parts = [one()]
-        while peek() in ("and", "word", "not", "("):
-            place += peek() == "and"
-            parts.append(one())
-        return parts[0] if len(parts) == 1 else ("and", parts)
-
-    def one():
-        nonlocal place
-        if place >= len(tokens):
-            raise QueryError("the query ends early", len(query.encode()))
-        kind, word, quoted, begin = tokens[place]
-        begin = len(query[:begin].encode())
-        place += 1
-        if kind == "not":
-            return ("not", one())
-        if kind == "(":
-            inner = either()
-            if peek() != ")":
-                raise QueryError("unclosed (", begin)
-            place += 1
-            return inner
-        if kind != "word":
-            raise QueryError(f"expected a term, found {word}", begin)
-        return _term(word, quoted, begin)
-
-    if not tokens:
+            settle(_BINDS[kind])
+            waiting.append((kind, at))
+        complete = kind in ("word", "close")
+    if not values and not waiting:
         return ("all",)
-    tree = either()
-    if place < len(tokens):
-        raise QueryError(f"unexpected {tokens[place][1]}", len(query[: tokens[place][3]].encode()))
-    return tree
+    if not complete:
+        raise QueryError("a filter is missing here", len(query.encode()))
+    settle(0)
+    if waiting:
+        raise QueryError("this bracket stays open", waiting[-1][1])
+    return values[0]
 
 
 def _term(word: str, quoted: bool, at: int):
     if word[:4] in ("has:", "HAS:"):
         if not word[4:]:
-            raise QueryError("has: needs a property", at)
+            raise QueryError("has: lacks the name of a property", at)
         return ("term", word[4:], "exists", "")
     key, colon, raw = word.partition(":")
     if not colon or not key:
-        raise QueryError("a filter is key:value or has:key", at)
+        raise QueryError("neither key:value nor has:key", at)
     if quoted:
         op, value = "=", raw
     elif raw == "*":
@@ -219,7 +212,7 @@ def _term(word: str, quoted: bool, at: int):
         if not op:
             op, value = ("prefix", raw[:-1]) if raw.endswith("*") else ("=", raw)
     if not value and op != "exists":
-        raise QueryError(f"{word} has no value", at)
+        raise QueryError(f"nothing to compare {key} with", at)
     return ("term", key, op, value)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -16,3 +17,14 @@ def importable(spark: SparkSession) -> None:
     known = [p for p in (env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if p]
     if ROOT not in ":".join(known).split(":"):
         env["PYTHONPATH"] = ":".join([ROOT, *known[:1]])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, kept in the folder that spark.checkpoint.dir names (in local mode, where that isn't set, one of this machine's)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint()

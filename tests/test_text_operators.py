@@ -5,7 +5,9 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import access, chunking, markdown, merge, search, structure
 from quire.operators.history import CONFLICT, INVALID, File
 
@@ -164,3 +166,51 @@ def test_retargeted():
     text = "[a](./old.md#x) [[old]] [[dir/old.md|y]] ![i](/dir/old.md)\n"
     places = {x["at"]: "/new place/here.md" for x in markdown.links(text)}
     assert markdown.retargeted(text, places, "/dir/me.md") == "[a](./../new%20place/here.md#x) [[here]] [[new place/here.md|y]] ![i](/new%20place/here.md)\n"
+
+
+@pytest.mark.parametrize(
+    ("line", "value"),
+    [
+        ("a: 'it''s # x'", "it's # x"),
+        ("a: 'it''s' # note", "it's"),
+        ('a: "x \\" # y" # z', 'x " # y'),
+        ("a: b#c # d", "b#c"),
+        ("a: it's # fine", "it's"),
+        ("a: [1, 'two, three', \"fo,ur\", [5, 6]]", [1, "two, three", "fo,ur", [5, 6]]),
+        ("a: ['it''s', x] # y", ["it's", "x"]),
+        ("a: [ , x, ]", ["x"]),
+        ("a: [{b: 1, c: 2}, d]", ["{b: 1, c: 2}", "d"]),
+    ],
+)
+def test_yaml_quotes_and_comments(line, value):
+    assert markdown.parse_yaml(line + "\n") == {"a": value}
+
+
+def test_flatten_keeps_order():
+    value = {"a": [1, {"b": None, "c": True}], "d": {"e": {"f": "x"}}, "g": 1.5}
+    assert markdown.flatten(value) == [("a", "1", 1.0, 0), ("a.b", None, None, 1), ("a.c", "true", None, 1), ("d.e.f", "x", None, 0), ("g", "1.5", 1.5, 0)]
+    assert markdown.flatten([1]) == markdown.flatten(None) == []
+
+
+def test_query_grammar():
+    q, t = structure.parse_query, lambda k: ("term", k, "=", "1")
+    assert q("a:1 b:1 OR NOT c:1") == ("or", [("and", [t("a"), t("b")]), ("not", t("c"))])
+    assert q("-(a:1 OR b:1) AND c:1") == ("and", [("not", ("or", [t("a"), t("b")])), t("c")])
+    assert q("--a:1") == ("not", ("not", t("a"))) and q("  ") == ("all",)
+    assert q('a:"x (y" b:1') == ("and", [("term", "a", "=", "x (y"), t("b")])
+    for query, at in [("a:1 OR", 6), ("(a:1", 0), ("a:1)", 3), ("AND a:1", 0), ('é:"x', 3), ("()", 1), ("a:1 NOT", 7), ("a:1 OR AND b:1", 7), ("a:", 0)]:
+        with pytest.raises(structure.QueryError) as e:
+            q(query)
+        assert e.value.at == at, query
+
+
+def test_term_counts(spark):
+    """Overlapping phrases, prefixes and folded words; a line of 50,000 words takes no longer than its length says."""
+    rows = [("a a a b",), ("Élan, vital-élan",), ("",), (None,), ("...",), ("x " * 50_000 + "rights reserved",)]
+    df = spark.createDataFrame(rows, "text string")
+    spaced = text.spaced_words(F.col("text"))
+    T = search.Term
+    terms = [T(("a", "a")), T(("elan",)), T(("vi",), True), T(("rights", "reserved")), T(("x",))]
+    got = df.select(*[search.occurrences(spaced, t) for t in terms], *[search.holds(spaced, t) for t in terms]).collect()
+    assert [tuple(r)[:5] for r in got] == [(2, 0, 0, 0, 0), (0, 2, 1, 0, 0), (0,) * 5, (None,) * 5, (0,) * 5, (0, 0, 0, 1, 50_000)]
+    assert all((r[k] or 0) > 0 if r[k + 5] else not r[k] for r in got for k in range(5))
