@@ -165,14 +165,31 @@ def authors_array(by_file: DataFrame) -> DataFrame:
 def diffs(commits: DataFrame, kind: str = "hunks") -> DataFrame:
     """Changes from each version to the next: rows of hunks, or one unified diff each."""
     importable(commits.sparkSession)
-    before = commits.select("file_id", (F.col("version") + 1).alias("version"), F.col("content").alias("old"))
-    pair = commits.join(before, ["file_id", "version"], "left").withColumn("old", F.coalesce("old", F.lit("")))
+    by_file = Window.partitionBy("file_id").orderBy("version")
+    follows = F.lag("version").over(by_file) == F.col("version") - 1
+    pair = commits.withColumn("old", F.when(follows, F.lag("content").over(by_file)).otherwise(F.lit("")))
     if kind == "hunks":
         return pair.select("path", "version", F.explode(merge.hunks_of(F.col("old"), F.col("content"))).alias("h")).select("path", "version", "h.*")
     name = lambda v: F.concat("path", F.lit("@"), v.cast("string"))
     return pair.select("path", "version", merge.unified_of(F.col("old"), F.col("content"), name(F.col("version") - 1), name(F.col("version"))).alias("diff"))
 
 
+def diffs_between(commits: DataFrame, old: int, new: int | None = None, kind: str = "hunks") -> DataFrame:
+    """Changes of each file from one version to another (0: nothing yet; None: its last), as rows of hunks or one unified diff each.
+
+    Files that lack either version have no rows.
+    """
+    importable(commits.sparkSession)
+    rows = commits if new is None else commits.where(F.col("version").isin(old, new))
+    of = lambda v: F.lit("") if v == 0 else F.max(F.when(F.col("version") == v, F.col("content")))
+    last = F.max_by("content", "version") if new is None else of(new)
+    at = F.max("version") if new is None else F.lit(new).cast("bigint")
+    pair = rows.groupBy("file_id", "path").agg(of(old).alias("old"), last.alias("new"), at.alias("at")).where("old is not null and new is not null")
+    if kind == "hunks":
+        return pair.select("path", F.explode(merge.hunks_of(F.col("old"), F.col("new"))).alias("h")).select("path", "h.*")
+    return pair.select("path", merge.unified_of(F.col("old"), F.col("new"), F.concat("path", F.lit(f"@{old}")), F.concat("path", F.lit("@"), F.col("at").cast("string"))).alias("diff"))
+
+
 # --- namespace ----------------------------------------------------------------------------------
 
 

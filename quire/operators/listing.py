@@ -66,7 +66,8 @@ def listing(records: DataFrame) -> DataFrame:
 
 def ls(records: DataFrame, folder: str = "/", recursive: bool = False) -> DataFrame:
     """What stands in a folder, by name; with recursive all below it, by path."""
-    every = listing(records).where(paths.under(F.col("path"), folder))
+    below = lambda df: df.where(paths.under(F.col("path"), folder))
+    every = below(listing(below(records)))  # files elsewhere have no folder there
     return every.orderBy("path") if recursive else every.where(F.col("dir") == (folder.rstrip("/") or "/")).orderBy("name")
 
 
@@ -99,7 +100,7 @@ def _glob(pattern: str) -> str:
 def tree(records: DataFrame, folder: str = "/", depth: int = 2) -> DataFrame:
     """Folders down to a depth below one, with their files, folders and bytes."""
     base = 0 if folder == "/" else folder.count("/")
-    found = folder_records(records).where((F.col("path") == folder) | paths.under(F.col("path"), folder))
+    found = folder_records(records.where(paths.under(F.col("path"), folder))).where((F.col("path") == folder) | paths.under(F.col("path"), folder))
     return found.where(F.col("depth") <= base + depth).select("path", "depth", "files", "folders", "nbytes").orderBy("path")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from urllib.parse import unquote_to_bytes
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
@@ -225,19 +226,12 @@ def percent_decoded(s: str) -> str:
 
 def links(text: str) -> list[dict]:
     """Links in order: kind (wiki, embed, md, image), target, anchor, alias, external, line, and the target's place (or -1)."""
+    if "[" not in text and "<" not in text:
+        return []
     _, body = split_front_matter(text)
     lines = text.split("\n")
     code = _code_lines([x.rstrip("\r") for x in lines], text.count("\n", 0, body))
-    hidden, at = [], 0
-    for line, block in zip(lines, code, strict=True):
-        if block:
-            hidden.append((at, at + len(line) + 1))
-        at += len(line) + 1
-    shown = list(text)
-    for a, b in hidden:
-        for i in range(a, min(b, len(shown))):
-            shown[i] = shown[i] if shown[i] == "\n" else "\0"
-    plain = "".join(shown)
+    plain = "\n".join("\0" * len(line) if block else line for line, block in zip(lines, code, strict=True))
     plain = plain[:body] + re.sub(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: re.sub(r"[^\n]", "\0", m[0]), plain[body:], flags=re.S)
     out = []
     for m in re.finditer(r"\[\[([^\n]*?)\]\]", plain):
@@ -260,9 +254,7 @@ def links(text: str) -> list[dict]:
     for m in _AUTO.finditer(plain, body):
         out.append({"kind": "md", "target": m[1].partition("#")[0], "anchor": m[1].partition("#")[2] or None, "alias": None, "external": True, "offset": m.start(), "at": -1})
     out.sort(key=lambda x: x["offset"])
-    breaks = [i for i, c in enumerate(text) if c == "\n"]
-    from bisect import bisect_left
-
+    breaks = [m.start() for m in re.finditer("\n", text)] if out else []
     return [{"line": bisect_left(breaks, x["offset"]) + 1, **x} for x in out]
 
 

@@ -122,9 +122,15 @@ def path_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.path_events(files, after)
 
 
-@_query(f"WITH {VAULT} SELECT path, 'reserved' AS problem FROM v WHERE false")
+#: Paths of documents with names that some platform refuses, as SQL that Spark and DuckDB read alike.
+_ODD = "CASE doc_id % 8 WHEN 0 THEN '/n/' || cast(doc_id as string) || '/con.md' WHEN 1 THEN '/n/what? ' || cast(doc_id as string) WHEN 2 THEN '/n/' || cast(doc_id as string) || '.' WHEN 3 THEN '/n/' || repeat('x', 250 + doc_id % 12) || cast(doc_id as string) WHEN 4 THEN '/N/Twice' || cast(doc_id - 4 as string) WHEN 5 THEN '/n/tWICE' || cast(doc_id - 5 as string) ELSE '/n/fine' || cast(doc_id as string) END"
+
+
+@_query(f"""WITH v AS (SELECT {_ODD.replace('as string', 'AS VARCHAR')} AS path, doc_id FROM documents)
+SELECT path, 'reserved' AS problem FROM v WHERE doc_id % 8 = 0 UNION ALL SELECT path, 'character' FROM v WHERE contains(path, '?') UNION ALL SELECT path, 'trailing' FROM v WHERE ends_with(path, '.')
+UNION ALL SELECT path, 'long' FROM v WHERE length(path) > 258 UNION ALL SELECT a.path, 'case' FROM v a JOIN v b ON lower(a.path) = lower(b.path) AND a.path <> b.path""")
 def portability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.clashes(_files(spark, sf_dir).select("path"))
+    return listing.clashes(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_ODD} AS path"))
 
 
 @_query(f"WITH {VAULT} SELECT sha256(content) AS root, count(*) AS n FROM v GROUP BY 1")
@@ -366,6 +372,12 @@ def version_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.diffs(_commits(spark, sf_dir)).select("path", "version", "old_from", "old_count", "new_from", "new_count")
 
 
+@_query(f"""WITH {CHATS}, n AS (SELECT path, version, CAST(len(string_split(content, chr(10))) - 1 AS BIGINT) AS n FROM c), h AS (SELECT path, max(n) AS n FROM n GROUP BY path)
+SELECT h.path, o.n + 1 AS old_from, CAST(0 AS BIGINT) AS old_count, o.n + 1 AS new_from, h.n - o.n AS new_count FROM h JOIN n o ON o.path = h.path AND o.version = 2 WHERE h.n > o.n""")
+def hunks_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.diffs_between(_commits(spark, sf_dir), 2).select("path", "old_from", "old_count", "new_from", "new_count")
+
+
 @_query()
 def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.diffs(_commits(spark, sf_dir), "unified")

@@ -40,9 +40,20 @@ class Vault:
         return Vault(self.files.where(paths.under(F.col("path"), folder)), self.commits)
 
 
+#: A table of fewer bytes than this for each core may be one row group, so its rows are dealt out before Python reads them.
+SMALL = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan whose rows all cores read, be the table small; a larger one has row groups enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def from_documents(spark: SparkSession, sf_dir: str) -> Vault:
     """One markdown file per document; its author is its source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)
     return Vault(docs.select(F.col("doc_id").alias("file_id"), F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"), F.lit(1).cast("bigint").alias("version"), F.col("source").alias("author"), at.alias("created_at"), at.alias("updated_at")))
 

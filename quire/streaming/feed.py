@@ -27,8 +27,12 @@ def stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Data
 
 
 def watch(changes: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
-    """Calls handle with each batch's changes in order; a change comes once, however often the query restarts."""
-    writer = changes.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["seq"]).writeStream.foreachBatch(lambda df, n: handle(df.orderBy("seq"), n)).option("checkpointLocation", checkpoint)
+    """Calls handle with each batch's changes in order and the batch's number.
+
+    A batch that was not finished when the query stopped comes again with the same number and the same changes, so a handler that
+    writes elsewhere should keep the last number. No change is dropped for coming late.
+    """
+    writer = changes.writeStream.foreachBatch(lambda df, n: handle(df.dropDuplicates(["seq"]).orderBy("seq"), n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 

@@ -214,3 +214,22 @@ def test_term_counts(spark):
     got = df.select(*[search.occurrences(spaced, t) for t in terms], *[search.holds(spaced, t) for t in terms]).collect()
     assert [tuple(r)[:5] for r in got] == [(2, 0, 0, 0, 0), (0, 2, 1, 0, 0), (0,) * 5, (None,) * 5, (0,) * 5, (0, 0, 0, 1, 50_000)]
     assert all((r[k] or 0) > 0 if r[k + 5] else not r[k] for r in got for k in range(5))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
+def test_diff_is_shortest(a, b):
+    """Hunks rebuild the new text and hold as few edits as the longest common subsequence allows."""
+    hunks = merge.diff(a, b)
+    out, at = [], 0
+    for x, x_to, y, y_to in hunks:
+        assert a[at:x] == b[len(out) : y]
+        out += a[at:x] + b[y:y_to]
+        at = x_to
+    assert out + a[at:] == b
+    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+    assert sum(x_to - x + y_to - y for x, x_to, y, y_to in hunks) == len(a) + len(b) - 2 * common[-1][-1]
+    assert merge.diff(a, b, 0) == ([] if a == b else merge.diff(a, b, 0)) and len(merge.diff(a, b, 0)) <= 1
