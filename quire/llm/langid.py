@@ -26,6 +26,8 @@ FEATURE_BITS = 14
 FEATURES = len(ORDERS) << FEATURE_BITS
 #: Rows of each language that training reads, about; chosen by a hash of doc_id.
 SAMPLE_ROWS = 1500
+#: Labels that a model may have.
+MOST_LANGUAGES = 1000
 #: A decision is ambiguous if its score is below this.
 AMBIGUOUS = 0.6
 #: How steeply the loss falls with a margin, in units of the bit's mean training margin.
@@ -116,11 +118,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
     Learns from about rows_per_language whole texts of each language, chosen by a hash of doc_id that has nothing
     to do with their order; rows without doc_id, text or lang don't take part. What comes to the driver are n-gram
-    counts: languages times features at most. Without usable rows the model has no language and every text is undetermined.
+    counts: languages times features at most, and more than MOST_LANGUAGES labels are refused. Without usable rows the model has no
+    language and every text is undetermined. Languages whose samples are alike tie: the first by name is told, with an equal share.
     """
     importable(labelled.sparkSession)
     rows = labelled.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("lang is not null and doc_id is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels; clean them first")
     names = sorted(counts)
     if not names:
         return Model([], np.zeros((0, 0)), np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0))
@@ -148,9 +153,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     codes = codewords(len(names))
     odds = np.stack([np.log(shares[bit > 0].mean(axis=0)) - np.log(shares[bit < 0].mean(axis=0)) for bit in codes.T], axis=1) if codes.shape[1] else np.zeros((FEATURES, 0))
     margins = np.abs(shares @ odds)
-    scale = margins.mean(axis=0)
-    parted = margins.min(axis=0) / scale
-    return Model(names, codes, (odds / scale).astype(np.float32), parted / parted.sum() * codes.shape[1] if codes.shape[1] else parted)
+    # a bit whose languages can't be told apart says nothing; without any other all languages share alike and the first is told
+    telling = margins.mean(axis=0) > 1e-12
+    scale = np.where(telling, margins.mean(axis=0), 1.0)
+    parted = np.where(telling, margins.min(axis=0) / scale, 0.0)
+    whole = parted.sum()
+    return Model(names, codes, np.where(telling, odds / scale, 0.0).astype(np.float32), parted / whole * codes.shape[1] if whole > 0 else parted)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -504,3 +504,14 @@ def test_parities_lose_no_similar_set():
                 unlike += 1
                 passed += got
     assert similar > len(sets) and unlike > 100 and passed <= 0.02 * unlike
+
+
+def test_languages_that_tie(spark):
+    """Equal samples under two labels give a score between 0 and 1 and the first label; a third language is still told apart."""
+    rows = [(0, "the same words here", "aa"), (2, "the same words here", "bb")]
+    held = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.identify(held, langid.fit(held)).collect()
+    assert [(r["lang_pred"], round(r["score"], 6), r["ambiguous"]) for r in got] == [("aa", 0.5, True)] * 2
+    three = held.unionByName(spark.createDataFrame([(3, "zzq qqz xxk kkx", "cc")], held.schema))
+    told = {r["doc_id"]: r for r in langid.identify(three, langid.fit(three)).collect()}
+    assert told[3]["lang_pred"] == "cc" and told[0]["lang_pred"] in ("aa", "bb") and all(0 <= r["score"] <= 1 for r in told.values())
