@@ -61,16 +61,17 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", free: bool = True) -> DataFrame:
     """df, written as a table in the shared folder, so that lost executors cost no more than a read.
 
-    What was shuffled for it is dropped at once: pass a plan that no variable holds.
+    What was shuffled for it is dropped at once (unless free is false): pass a plan that no variable holds.
     """
     spark = df.sparkSession
     path, schema = scratch(spark, name), df.schema
     df.write.parquet(path)
     del df
-    freed(spark)
+    if free:
+        freed(spark)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
@@ -107,7 +108,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     are ignored; an empty input gives no rows.
     """
     tag = F.hash("u")
-    stars = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    stars = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", free=False)
     seen = _digest(stars)
     if not seen[0]:
         return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -117,12 +118,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.where("v > u").withColumn("tag", tag).join(least, ["u", "tag"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.withColumn("tag", tag).join(least.withColumn("tag", tag), ["u", "tag"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, stars = stars, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, stars = stars, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars", free=False)
         release(before)
         if (now := _digest(stars)) == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    freed(edges.sparkSession)
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
