@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import importable
+from quire.llm.common import importable, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a sequence: its length and a fixed overhead per sequence.
@@ -102,7 +102,8 @@ def pack(df: DataFrame, length: str = "length", doc_id: str = "doc_id", lengths=
     if not lengths or min(lengths) < 1:
         raise ValueError("lengths must be positive")
     most = int(max(lengths))
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(length).cast("bigint").alias("n")).where("n > 0")
+    # the lengths are kept, as two passes need them and texts should be read once
+    rows = stored(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(length).cast("bigint").alias("n")).where("n > 0"), "lengths")
     pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("bigint") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece").cast("bigint") * most).alias("length"))
     total = rows.agg(F.sum(F.ceil(F.col("n") / most))).first()[0] or 0
