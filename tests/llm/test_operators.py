@@ -231,6 +231,28 @@ def test_chroma_edges(spark):
     assert chroma.fingerprint_and_align(edge_docs(spark).limit(0), media="text").count() == 0
 
 
+def test_runs_of_integers(spark):
+    """Copies of several lengths, a jingle in a smaller recording, noise, hot runs: the votes are those of all places, or no run is shared."""
+    draw = random.Random(17)
+    song, codes = list(range(1000, 1100)), {}
+    codes |= {1: song[:60], 2: [7, *song], 3: song, 4: song[50:], 5: [1, 1, 1, 1], 6: [1, 1, 1], 7: [1, 1], 8: [1], 9: []}
+    for i in range(20, 80, 3):
+        tune = [draw.randrange(1 << 20) for _ in range(draw.randrange(8, 40))]
+        codes |= {i: tune, i + 1: [5, *tune], i + 2: [x if draw.random() < 0.7 else draw.randrange(1 << 20) for x in tune[draw.randrange(3) :]]}
+    rows = [(d, len(c), c, hashlib.sha256(np.array(c, dtype="<u4").tobytes()).hexdigest()) for d, c in codes.items()]
+    prints = spark.createDataFrame(rows, "doc_id bigint, n_frames bigint, codes array<int>, fingerprint_sha256 string")
+    got, exact = ({r["doc_id"]: (r["aligned_id"], r["offset"], r["votes"]) for r in chroma.align(prints, every=e).collect()} for e in (False, True))
+    for d, c in codes.items():
+        pairs = {(o, i - j) for o, x in codes.items() if o != d for i, a in enumerate(zip(c, c[1:], strict=False)) for j, b in enumerate(zip(x, x[1:], strict=False)) if a == b}
+        if pairs:  # in a loop several offsets may have as many votes
+            other, offset, votes = got[d]
+            assert (other, votes) == exact[d][::2] and votes == sum(0 <= i - offset < len(codes[other]) and codes[other][i - offset] == a for i, a in enumerate(c)), d
+            assert d < 10 or offset == exact[d][1]
+        else:
+            assert got[d] == (None, None, None)
+    assert got[3] == (2, -1, 100)
+
+
 def test_votes_of_all_recordings(spark):
     """Against brute force: a jingle in a smaller recording, whole copies, loops, and random codes of which many are hot."""
     draw = random.Random(13)
@@ -238,7 +260,7 @@ def test_votes_of_all_recordings(spark):
     codes = {1: song[:60], 2: [7, *song], 3: song, 4: [8, 9, *song], 5: song, 6: [1, 2, 1, 2, 1, 2, 3], 7: [2, 1, 2, 3], 8: [5], 9: [5], 10: [5, 6], 11: [], 12: [77]}
     codes |= {i: [draw.randrange(12) for _ in range(draw.randrange(1, 6))] for i in range(20, 90)}
     rows = [(d, len(c), c, hashlib.sha256(np.array(c, dtype="<u4").tobytes()).hexdigest()) for d, c in codes.items()]
-    got = {r["doc_id"]: (r["aligned_id"], r["offset"], r["votes"]) for r in chroma.align(spark.createDataFrame(rows, "doc_id bigint, n_frames bigint, codes array<int>, fingerprint_sha256 string")).collect()}
+    got = {r["doc_id"]: (r["aligned_id"], r["offset"], r["votes"]) for r in chroma.align(spark.createDataFrame(rows, "doc_id bigint, n_frames bigint, codes array<int>, fingerprint_sha256 string"), every=True).collect()}
     for d, c in codes.items():
         votes = Counter((o, i - j) for o, x in codes.items() if o != d for i, a in enumerate(c) for j, b in enumerate(x) if a == b)
         best = min(((-n, o, k) for (o, k), n in votes.items()), default=None)
