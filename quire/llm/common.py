@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Python workers are used again by later stages; with these they give memory back in between. Fixed names of glibc and Arrow.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that share this machine's files import the package as the driver does.
+    """Lets Python workers that share this machine's files import the package as the driver does, and give memory back.
 
     On a cluster the package is shipped with --py-files; the extra path is then simply not there.
     """
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     known = [p for p in (env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if p]
     if ROOT not in ":".join(known).split(":"):
         env["PYTHONPATH"] = ":".join([ROOT, *known[:1]])
