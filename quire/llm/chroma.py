@@ -2,7 +2,7 @@
 
 A recording (WAV, or raw unsigned 8-bit samples) is cut into overlapping frames; each frame's spectrum is folded to twelve
 pitch classes. Sixteen rectangular filters over this image, each a difference of areas taken from its integral image, give two bits
-in Gray code; 32 bits are one packed integer per step. Recordings that share patterns of integers vote for the offset between
+in Gray code; 32 bits are one packed integer per step. Equal integers of two recordings vote for the offset between
 them; the offset with most votes aligns them, and the share of differing bits over the overlap tells how well.
 """
 
@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ STEPS = (-0.6, 0.0, 0.6)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 #: Recordings are said to match if at most this share of bits differs over at least so many steps.
 MOST_ERROR, LEAST_STEPS = 0.25, 4
-#: Steps at which two recordings must hold the same integers to be compared: three of any four for noisy recordings, and six in
+#: Steps at which two recordings must hold the same integers where not every place votes: three of any four for noisy recordings, and six in
 #: a row because three are found in ever more unlike recordings as a table grows.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 2, 3, 4, 5))
+#: Places of all recordings for each block is the square root of this times them all; pairs of places that are joined at once.
+BLOCK_PLACES, PLACE_PAIRS = 1 << 14, 1 << 20
 
 
 def samples(media: bytes | pa.Buffer | None) -> tuple[np.ndarray, int]:
@@ -211,42 +214,133 @@ def _across(classes: DataFrame, patterns: tuple[tuple[int, ...], ...]) -> DataFr
     return seen.groupBy("id").agg(F.min(_vote(_equal_steps(F.col("offset"), F.col("mine"), F.col("theirs")), F.col("other"), F.col("offset"))).alias("b"))
 
 
+def _whole_histogram(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, votes) of two recordings of any length: their integers' places, or by Fourier transform where an integer has too many."""
+    u, inverse, mine = np.unique(a, return_inverse=True, return_counts=True)
+    order, sizes = np.argsort(inverse, kind="stable"), np.concatenate(([0], np.cumsum(mine)))
+    back = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[back], u, "left"), np.searchsorted(b[back], u, "right")
+    size, votes = len(a) + len(b) - 1, np.zeros(len(a) + len(b) - 1, dtype=np.int64)
+    spectrum = 1 << (size - 1).bit_length()
+    product = 0.0
+    for c in np.flatnonzero(high > low).tolist():
+        i, j = order[sizes[c] : sizes[c + 1]], back[low[c] : high[c]]
+        if len(i) * len(j) <= size:
+            np.add.at(votes, (i[:, None] - j[None, :] + len(b) - 1).ravel(), 1)
+        else:
+            x, y = np.zeros(spectrum), np.zeros(spectrum)
+            x[i], y[len(b) - 1 - j] = 1, 1
+            product = product + np.fft.rfft(x) * np.fft.rfft(y)
+    if not np.isscalar(product):
+        votes += np.rint(np.fft.irfft(product, spectrum)[:size]).astype(np.int64)
+    at = np.flatnonzero(votes)
+    return at - (len(b) - 1), votes[at]
+
+
+def _histograms(codes: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(u, v, offset, votes) of all pairs of a left and a right recording that share an integer; if same, of those with u < v.
+
+    Votes of one pair are counted at once: places of both sides are joined by integer, PLACE_PAIRS at a time.
+    """
+
+    def laid(members: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.array([len(codes[m]) for m in members.tolist()], dtype=np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.concatenate([codes[m] for m in members.tolist()]), np.repeat(members, size), at
+
+    code, who, at = laid(right)
+    order = np.argsort(code, kind="stable")
+    waiting = [(laid(left), (code[order], who[order], at[order]))]
+    while waiting:
+        (a, u, i), (b, v, j) = waiting.pop()
+        low = np.searchsorted(b, a, "left")
+        met = np.searchsorted(b, a, "right") - low
+        total = int(met.sum())
+        if not total or same and u[0] >= v.max():
+            continue
+        wide = int(i.max() + j.max()) + 1
+        if total > PLACE_PAIRS or int(u[-1] - u[0] + 1) * len(codes) * wide >> 62:
+            if u[0] != u[-1]:
+                # a cut between two recordings near the middle
+                mid = np.searchsorted(u, u[int(np.searchsorted(np.cumsum(met), total // 2))], "left") or np.searchsorted(u, u[0], "right")
+                waiting += [((a[x], u[x], i[x]), (b, v, j)) for x in (slice(mid, None), slice(None, mid))]
+            elif v.min() != v.max():
+                first = v <= (v.min() + v.max()) // 2
+                waiting += [((a, u, i), (b[x], v[x], j[x])) for x in (~first, first)]
+            elif not same or u[0] < v[0]:
+                offset, votes = _whole_histogram(codes[u[0]], codes[v[0]])
+                yield np.full(len(offset), u[0]), np.full(len(offset), v[0]), offset, votes
+            continue
+        mine = np.repeat(np.arange(len(a)), met)
+        theirs = np.arange(total) - np.repeat(np.cumsum(met) - met - low, met)
+        if same:
+            kept = u[mine] < v[theirs]
+            mine, theirs = mine[kept], theirs[kept]
+        least = int(u[0])
+        key, votes = np.unique(((u[mine] - least) * len(codes) + v[theirs]) * wide + i[mine] - j[theirs] + int(j.max()), return_counts=True)
+        pair, offset = np.divmod(key, wide)
+        yield pair // len(codes) + least, pair % len(codes), offset - int(j.max()), votes
+
+
+def best_votes(ids: np.ndarray, codes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(id, other, offset, votes) of the best alignment of each of the left recordings with any of the right ones, and the reverse.
+
+    left and right are places in ids, which ascend. They are the same, or have none in common. Ties go to the smallest id, then the least offset.
+    """
+    same = len(left) == len(right) and bool((left == right).all())
+    most, tie = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), np.iinfo(np.int64).max)
+    wide = 2 * max(map(len, codes)) + 1
+
+    def take(who: np.ndarray, other: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> None:
+        now = most.copy()
+        np.maximum.at(now, who, votes)
+        tie[now > most] = np.iinfo(np.int64).max
+        top = votes == now[who]
+        np.minimum.at(tie, who[top], other[top] * wide + offset[top] + wide // 2)
+        most[:] = now
+
+    for u, v, offset, votes in _histograms(codes, left, right, same):
+        take(u, v, offset, votes)
+        take(v, u, -offset, votes)
+    found = np.flatnonzero(most)
+    other, offset = np.divmod(tie[found], wide)
+    return ids[found], ids[other], offset - wide // 2, most[found]
+
+
 def _across_all(classes: DataFrame) -> DataFrame:
-    """(id, b: best vote) by all places of all integers: the exact way, which takes the square of an integer's holders.
+    """(id, b: best vote) by all places of all integers of all other recordings.
 
-    Two votes or more need two places on both sides, so only classes of several places meet in pairs; a single vote is
-    best cast for the smallest recording that holds the integer.
+    Recordings are dealt into blocks, about one for each BLOCK_PLACES of the square of all places; each pair of blocks is a group whose votes are
+    counted where it lies, so only each recording's best of each group leaves it.
     """
-    places = classes.select("id", F.size("codes").alias("n"), F.posexplode("codes").alias("at", "code"))
-    held = places.groupBy("code", "id").agg(F.max("at").alias("last"))
-    first = stored(held.groupBy("code").agg(F.min(F.struct("id", "last")).alias("f"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("code", "f"))
-    shared = stored(_tagged(places, "code").join(_tagged(first, "code"), ["code", "tag"]).select("code", "id", "n", "at", "f"))
-    later = shared.where("id <> f.id")
-    second = later.groupBy("code").agg(F.min("id").alias("id"))
-    lasts = later.join(second, ["code", "id"]).groupBy("code").agg(F.min("id").alias("other"), F.max("at").alias("last"))
-    single = later.select("id", _vote(F.lit(1), F.col("f.id"), F.col("at") - F.col("f.last")).alias("b"))
-    single = single.unionByName(shared.where("id = f.id").join(lasts, "code").select("id", _vote(F.lit(1), F.col("other"), F.col("at") - F.col("last")).alias("b")))
-
-    several = _tagged(shared.where("n > 1").select("code", "id", "at"), "code")
-    u, v = several.select("code", "tag", F.col("id").alias("u"), F.col("at").alias("i")), several.select("code", "tag", F.col("id").alias("v"), F.col("at").alias("j"))
-    counted = u.join(v, ["code", "tag"]).where("u < v").groupBy("u", "v", (F.col("i") - F.col("j")).alias("k")).agg(F.count(F.lit(1)).alias("votes")).where("votes > 1")
-    pairs = counted.select(_both("u", "v", "k", "votes").alias("s")).select("s.id", _vote(F.col("s.votes"), F.col("s.other"), F.col("s.offset")).alias("b"))
-    return single.unionByName(pairs).groupBy("id").agg(F.min("b").alias("b"))
-
-
-def align(prints: DataFrame, patterns: tuple[tuple[int, ...], ...] = PATTERNS, every: bool = False) -> DataFrame:
+    places = classes.agg(F.sum(F.size("codes").cast("bigint"))).first()[0] or 0
+    parts = int(np.ceil(np.sqrt(places / BLOCK_PLACES))) or 1
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = classes.select("id", "codes", own.alias("own")).withColumn("p", F.explode(sides)).select("id", "codes", "own", "p.i", "p.j")
+
+    def counted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        side = group["own"].to_numpy()
+        left, right = np.flatnonzero(side == group["i"][0]), np.flatnonzero(side == group["j"][0])
+        found = best_votes(group["id"].to_numpy(), [*group["codes"]], left, right) if len(left) and len(right) else [[]] * 4
+        return pd.DataFrame(dict(zip(("id", "other", "offset", "votes"), found, strict=True)))
+
+    best = dealt.groupBy("i", "j").applyInPandas(lambda group: counted(group), "id bigint, other bigint, offset int, votes bigint")
+    return best.groupBy("id").agg(F.min(_vote(F.col("votes"), F.col("other"), F.col("offset"))).alias("b"))
+
+
+def align(prints: DataFrame, patterns: tuple[tuple[int, ...], ...] = PATTERNS, every: bool = True) -> DataFrame:
     """prints with aligned_id, offset, votes, overlap, bit_error and matched.
 
-    Recordings that hold the same integers at the steps of one of the patterns are compared: at the offset on which most
-    patterns agree (ties: the least shift), each step with equal integers is a vote. aligned_id is the other recording with most votes (ties: the smallest
-    doc_id, then offset): step i of the row lies on step i - offset of it. bit_error is the share of differing
-    bits over the overlap. Without a shared pattern they are null and matched is false. Rows without doc_id take no part.
+    Each place of an integer votes for every place of it in every other recording. aligned_id is the other recording with most votes for one
+    offset (ties: the smallest doc_id, then offset): step i of the row lies on step i - offset of it. bit_error is the share of differing
+    bits over the overlap. Without a shared integer they are null and matched is false. Rows without doc_id take no part.
     Repeats of a doc_id are one recording, told by its least codes.
 
-    Recordings of equal codes are one class, told by its smallest doc_id; within it all votes are for offset 0. Other holders of a
-    pattern meet its smallest and largest holder, so all that share patterns hang together, but a recording whose every pattern has a
-    smaller and a larger holder besides is not compared with others in between. With every, each place of an integer votes for every place of it in
-    every other recording: exact, at the square of an integer's holders.
+    Recordings of equal codes are one class, told by its smallest doc_id; within it all votes are for offset 0. The work is the
+    square of an integer's holders. Without every, only recordings that hold the same integers at the steps of one of the
+    patterns are compared, and of those each with a pattern's smallest and largest holder: linear, but partners are lost.
     """
     known = prints.where("doc_id is not null")
     members = stored(known.groupBy("doc_id").agg(F.min(F.struct("codes", "fingerprint_sha256")).alias("m")).where("size(m.codes) > 0").select("doc_id", "m.codes", F.col("m.fingerprint_sha256").alias("sha")))

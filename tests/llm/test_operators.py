@@ -269,6 +269,43 @@ def test_votes_of_all_recordings(spark):
     assert got[3] == (2, -1, 100)
 
 
+def brute_votes(codes):
+    """{d: (other, offset, votes)} of the recording of most votes, by all places of all integers."""
+    held, found = {}, {}
+    for o, x in codes.items():
+        for j, b in enumerate(x):
+            held.setdefault(int(b), []).append((o, j))
+    for d, c in codes.items():
+        votes = Counter((o, i - j) for i, a in enumerate(c) for o, j in held[int(a)] if o != d)
+        if best := min(((-n, o, k) for (o, k), n in votes.items()), default=None):
+            found[d] = (best[1], best[2], -best[0])
+    return found
+
+
+def test_chroma_query_loses_no_partner(spark, sf_dir, docs, monkeypatch):
+    """The query's partners, offsets and votes are the best of all recordings, also where blocks part them."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    codes = {d: chroma.pack(chroma.chroma([chroma.samples((t or "").encode())]))[0] for d, t in texts.items()}
+    want = brute_votes(codes)
+    for places in (chroma.BLOCK_PLACES, sum(map(len, codes.values())) / 9):
+        monkeypatch.setattr(chroma, "BLOCK_PLACES", places)
+        got = {r["doc_id"]: (r["aligned_id"], r["offset"], r["votes"]) for r in queries.op3_chroma(spark, sf_dir).collect()}
+        assert got.keys() == texts.keys() and {d: v for d, v in got.items() if v[0] is not None} == want
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 200, 1 << 20])
+def test_best_votes(monkeypatch, pairs):
+    """Against brute force: hot integers, loops and single places, however few pairs of places are joined at once."""
+    monkeypatch.setattr(chroma, "PLACE_PAIRS", pairs)
+    draw, ids = random.Random(29), np.arange(40) * 3
+    codes = [np.array([draw.randrange(draw.choice([1, 2, 5, 40])) for _ in range(draw.randrange(1, 25))], dtype=np.int32) for _ in ids]
+    best = {}
+    for left, right in ((slice(0, 40, 2), slice(0, 40, 2)), (slice(1, 40, 2), slice(1, 40, 2)), (slice(0, 40, 2), slice(1, 40, 2))):
+        for d, other, offset, votes in zip(*(x.tolist() for x in chroma.best_votes(ids, codes, np.arange(40)[left], np.arange(40)[right])), strict=True):
+            best[d] = min(best.get(d, (0,)), (-votes, other, offset))
+    assert {d: (b[1], b[2], -b[0]) for d, b in best.items()} == brute_votes(dict(zip(ids.tolist(), codes, strict=True)))
+
+
 # --- 4: licenses --------------------------------------------------------------------------------
 
 
