@@ -31,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component of near copies (five-word shingles, similarity 0.8 or more).
 
+    SimHash fingerprints link first, through Golay-code keys and verified on the shingle sets; the rarest shingles find what they miss.
     Null and wordless texts are one group; a row that repeats another goes; rows without doc_id stay, once for each text.
     """
     return simhash.dedup(docs, shingle=SHINGLE)

@@ -9,8 +9,9 @@ its 23 neighbours. A fingerprint's keys therefore are, for each pair of segments
 (nearest, nearby): about 29 of 24 bits. Fingerprints that share a key are joined and verified on all
 64 bits; no link is lost.
 
-Texts whose shingle sets are similar (the pipeline's near copies) are found without fingerprints, through keys that
-are the rarest shingles of each set.
+Texts whose shingle sets are similar (the pipeline's near copies) are found the same way, by fingerprints of their distinct shingles, and
+verified on the sets. As similar sets may have fingerprints further apart, what these links leave in different components is then
+found through keys that are the rarest shingles of each set.
 """
 
 from __future__ import annotations
@@ -60,9 +61,14 @@ def margins(hashes: np.ndarray) -> np.ndarray:
     return 2 * ones - len(hashes)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of some shingles: a bit is 1 if over half their hashes have it (none: 0)."""
+    return int.from_bytes(np.packbits(margins(hashes) > 0, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a whole text: a bit is 1 if over half the shingles' hashes have it (null or without words: 0)."""
-    return int.from_bytes(np.packbits(margins(shingle_hashes(text, shingle)) > 0, bitorder="little").tobytes(), "little")
+    """The fingerprint of a whole text's shingles, repeats included (null or without words: 0)."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def _remainders() -> tuple[np.ndarray, np.ndarray]:
@@ -275,12 +281,28 @@ def _in_blocks(rows: DataFrame) -> tuple:
     return dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(work // TASK_ROWS + 1))), parts
 
 
+def print_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v) of ids of classes (id, fp) whose fingerprints are linked, u standing for its fingerprint with its smallest id.
+
+    v stands for another fingerprint in the same way, or is another id of the same one.
+    """
+    tag = F.hash("fp")
+    prints = stored(classes.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    equal = classes.withColumn("tag", tag).join(prints.withColumn("tag", tag), ["fp", "tag"]).where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    u, v = (prints.select(F.col("fp").alias(k), F.col("least").alias(f"i{k}")) for k in "uv")
+    linked = links(prints, "fp").join(u, "u").join(v, "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))
+    out = stored(equal.unionByName(linked), "pairs")
+    release(prints)
+    return out
+
+
 def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row with doc_id: texts link if their shingle sets are similar by least or more.
 
-    No such pair is lost: similar sets share a shingle of their prefixes (see prefix), and every candidate that their parities
-    (see parities) do not rule out is verified on the whole sets. Equal sets stand for one text. A first round links each text
-    to the smallest of each of its keys; a second compares, in blocks, what shares a key but no component yet. So a large group
+    Sets whose SimHash fingerprints differ in 3 bits or fewer come first, found through Golay-code keys and verified on the whole sets; the
+    rest of the work is for what these links leave apart. No similar pair is lost: similar sets share a shingle of their prefixes (see prefix), and every candidate that their parities
+    (see parities) do not rule out is verified on the whole sets. Equal sets stand for one text. A round of keys links each text
+    to the smallest of each of its keys; a last one compares, in blocks, what shares a key but no component yet. So a large group
     of copies costs a star for each key, and what leaves a block are edges of a forest, never its pairs. Null texts and texts
     without words are one class; a repeated doc_id stands for all its texts; an empty table gives no rows.
     """
@@ -294,7 +316,7 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             keys = [prefix(s, least, *frequent.value).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "whole": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": [*map(len, sets)], "parities": [*map(parities, sets)], "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "whole": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "n": [*map(len, sets)], "parities": [*map(parities, sets)], "fp": np.array([*map(fingerprint_of, sets)], dtype=np.uint64).view(np.int64), "keys": keys})
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -311,8 +333,8 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             own = np.array([hashlib.blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, batch["whole"], strict=True)], dtype=bool)
             yield pd.DataFrame({"id": batch["id"].to_numpy()[own], "whole": batch["whole"].to_numpy()[own], "set": [s for s, ok in zip(sets, own, strict=True) if ok]})
 
-    found = stored(rows.mapInPandas(profiled, "doc_id bigint, whole binary, n int, parities binary, keys binary"), "found")
-    classes = stored(found.groupBy("whole").agg(F.min(F.struct("doc_id", "n", "parities", "keys")).alias("m")).select("whole", F.col("m.doc_id").alias("id"), "m.n", "m.parities", "m.keys"), "classes")
+    found = stored(rows.mapInPandas(profiled, "doc_id bigint, whole binary, n int, parities binary, fp bigint, keys binary"), "found")
+    classes = stored(found.groupBy("whole").agg(F.min(F.struct("doc_id", "n", "parities", "fp", "keys")).alias("m")).select("whole", F.col("m.doc_id").alias("id"), "m.n", "m.parities", "m.fp", "m.keys"), "classes")
     members = stored(found.select("doc_id", "whole"), "members")
     release(found)
     alone = stored(classes.select("id", "whole", "n", "parities"), "alone")
@@ -323,32 +345,46 @@ def similar_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         texts = rows.join(wanted, F.col("doc_id") == F.col("id")).select("id", "whole", "text")
         return stored(texts.mapInPandas(taken, "id bigint, whole binary, set binary").dropDuplicates(["id", "whole"]).select("id", "set"), "sets")
 
-    # rest: how many shingles a set has from its key on; before the first key that two share, they share none
-    may = lambda n, rest, m, others: F.least(rest, others) >= least / (1 + least) * (n + m) - 1e-6
-    keys = classes.select("id", "n", "keys").mapInPandas(keyed, "key bigint, id bigint, n int, rest int")
-    heads = stored(keys.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", F.hash("key").alias("tag"), "h"), "heads")
-    # the added keys give both sides of the joins a shuffle of their own, so that a hot key or a row with many partners can be split
-    shared = stored(keys.withColumn("tag", F.hash("key")).join(heads, ["key", "tag"]).select("key", "id", "n", "rest", "h"), "shared")
-    release(heads, classes)
-    stars = shared.where((F.col("id") != F.col("h.id")) & may(F.col("n"), F.col("rest"), F.col("h.n"), F.col("h.rest"))).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct()
-
     @F.pandas_udf("boolean")
     def close(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y) <= (1 - least) / (1 + least) * (i + j) + 1e-6 for i, x, j, y in zip(n, a, m, b, strict=True)], dtype=bool)
 
-    u, v = (alone.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
-    paired = stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
-    stars = stored(paired.where(close("nu", "pu", "nv", "pv")).select("u", "v").distinct(), "candidates")
-    sets = sets_of(stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))))
-
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least) for x, y in zip(a, b, strict=True)])
 
-    u, v = (sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
-    both = stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
-    first = stored(both.where(near("su", "sv")).select("u", "v"), "links")
-    release(sets, stars)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of some pairs (u, v) of classes whose sets are similar; sets are read again where their parities allow it."""
+        u, v = (alone.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
+        paired = pairs.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
+        likely = stored(paired.where(close("nu", "pu", "nv", "pv")).select("u", "v").distinct(), "candidates")
+        sets = sets_of(likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))))
+        u, v = (sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
+        both = likely.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"])
+        out = stored(both.where(near("su", "sv")).select("u", "v"), "links")
+        release(sets, likely)
+        return out
+
+    pairs = print_pairs(classes.select("id", "fp"))
+    printed = verified(pairs)
+    release(pairs)
+    settled = components(printed)
+    tops = stored(alone.join(settled, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")), "tops")
+
+    # rest: how many shingles a set has from its key on; before the first key that two share, they share none
+    may = lambda n, rest, m, others: F.least(rest, others) >= least / (1 + least) * (n + m) - 1e-6
+    keys = classes.select("id", "n", "keys").mapInPandas(keyed, "key bigint, id bigint, n int, rest int")
+    heads = stored(keys.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", F.hash("key").alias("tag"), "h"), "heads")
+    # the added keys give both sides of the joins a shuffle of their own, so that a hot key or a row with many partners can be split
+    shared = stored(keys.withColumn("tag", F.hash("key")).join(heads, ["key", "tag"]).select("key", "id", "n", "rest", "h"), "shared")
+    release(heads, classes)
+    stars = shared.where((F.col("id") != F.col("h.id")) & may(F.col("n"), F.col("rest"), F.col("h.n"), F.col("h.rest"))).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct()
+    # what fingerprints have joined needs no star
+    u, v = (tops.select(F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.hash("id").alias(f"t{k}")) for k in "uv")
+    apart = stored(stars.withColumns({"tu": F.hash("u"), "tv": F.hash("v")}).join(u, ["u", "tu"]).join(v, ["v", "tv"]).where("ru <> rv").select("u", "v"), "apart")
+    starred = verified(apart)
+    release(apart, tops)
+    first = printed.unionByName(starred)
     roots = components(first)
     placed = stored(shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "rest", F.coalesce("root", "id").alias("root")), "placed")
     release(shared)
